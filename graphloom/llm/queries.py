@@ -7,16 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .packing import best_fit
+from .passages import repeated_passages
+from .records import token_records
 from .simhash import fingerprint_hex, near_duplicates
 
 
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records(table(spark, sf_dir, "documents"))
+
+
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_simhash": op8_simhash}
+    return {
+        "op3_token_records": op3_token_records,
+        "op7_repeated_passages": op7_repeated_passages,
+        "op8_simhash": op8_simhash,
+        "op10_best_fit": op10_best_fit,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
