@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .htmltext import extract
+from .mih import search
 from .packing import best_fit
 from .passages import repeated_passages
 from .records import token_records
@@ -17,6 +20,14 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"))
 
 
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -33,6 +44,8 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_records": op3_token_records,
+        "op4_multi_index_hashing": op4_multi_index_hashing,
+        "op5_text_density": op5_text_density,
         "op7_repeated_passages": op7_repeated_passages,
         "op8_simhash": op8_simhash,
         "op10_best_fit": op10_best_fit,
