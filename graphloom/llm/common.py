@@ -72,6 +72,11 @@ def column(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def held(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """row, a number for each row of docs, and doc, its columns whatever their names, written down."""
+    return scratch.table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "docs")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from graphloom.iterate import connected_components
 
-from .common import Scratch, column, map_rows
+from .common import Scratch, column, held, map_rows
 
 #: Least and most rows of a tile; in between there are about TILES of them.
 TILE_LEAST, TILE_MOST, TILES = 8192, 1_000_000, 256
@@ -166,5 +166,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(nodes, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of docs, with their columns as they are, one from each group of near-duplicates: that of the
+    smallest id (null last, one of its rows if it repeats)."""
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    rows = held(docs, scratch)
+    of = lambda name, to: F.col("doc").getField(name).alias(to)
+    ids = rows.select("row", of(id_col, "id"), of(text_col, "text"))
+    groups = near_duplicates(ids, "row", "text", shingle, radius).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("first")
+    keep = ids.select("row", "id").join(groups, "row").groupBy("component_id").agg(first).select("first.row")
+    return rows.join(keep, "row", "left_semi").select("doc.*")
+
+
 def fingerprint_hex(fp: str = "fp") -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
