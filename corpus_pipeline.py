@@ -1,15 +1,47 @@
 """The corpus pipeline: quality rules, near-duplicates, secrets, mixing, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
+the columns of documents. What a stage decides takes effect: rejected documents and all but one of a group
+of near-duplicates go, secret values are marked out, documents come as often as the mix takes them and in
+training order, and the last gives every piece its sequence.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from graphloom.llm import mixing, packing, quality, secrets, simhash
 
-#: SQL has no tokenizer: the last stage is tested against a brute-force version.
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redacted(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixture(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.best_fit(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_duplicates),
+    ("secret scan", secret_scan),
+    ("mixture", mix),
+    ("packing", pack),
+]
+
+#: SQL has no tokenizer: the last stage, and so the whole, is tested against a brute-force version.
 ORACLE_SQL = None
 
 
