@@ -1,0 +1 @@
+"""Left empty: graphs are loaded and computed on as one batch; there is nothing to stream."""
