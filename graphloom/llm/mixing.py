@@ -105,7 +105,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken and first, the position of a document's first copy."""
-    return training_order(docs, Scratch(docs.sparkSession, "mixing")).select("doc_id", "size", "source_size", "target", "taken", F.round("first", 9).alias("first"))
+    return training_order(docs, Scratch(docs.sparkSession, "mixing")).select("doc_id", "size", "source_size", "target", "taken", (F.round("first", 9) + 0.0).alias("first"))
 
 
 SQL = r"""
@@ -140,6 +140,6 @@ WITH d AS (
   FROM r
 )
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken,
-       round(CASE WHEN copies = 0 THEN NULL WHEN a = b THEN y / a ELSE (sqrt(a * a + 2 * (b - a) * y) - a) / (b - a) END, 9) AS first
+       round(CASE WHEN copies = 0 THEN NULL WHEN a = b THEN y / a ELSE (sqrt(a * a + 2 * (b - a) * y) - a) / (b - a) END, 9) + 0.0 AS first
 FROM c
 """
