@@ -53,12 +53,11 @@ def pieces(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for k in range(0, len(ids), 200):
-                for d, raw in zip(ids[k : k + 200], tok.encode(texts[k : k + 200]), strict=True):
-                    raw += end
-                    for piece, (start, n) in enumerate(cut_points(len(raw) // 4, capacity)):
-                        for name, v in zip(out, (d, piece, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)])), strict=True):
-                            out[name].append(v)
+            for d, raw in zip(ids, tok.encode(texts), strict=True):
+                raw += end
+                for piece, (start, n) in enumerate(cut_points(len(raw) // 4, capacity)):
+                    for name, v in zip(out, (d, piece, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)])), strict=True):
+                        out[name].append(v)
             yield out
 
     docs = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))

@@ -86,13 +86,12 @@ def write_records(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col
                 store.create_dir(path, recursive=True)
                 sink = store.open_output_stream(f"{path}/{name}.rec")
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for k in range(0, len(ids), 200):
-                for d, raw in zip(ids[k : k + 200], tok.encode(texts[k : k + 200]), strict=True):
-                    tokens = np.frombuffer(raw + struct.pack("<I", end_id), "<u4")
-                    record = frame(pack(d, tokens, width))
-                    sink.write(record)
-                    index += (at, len(record))
-                    at, n = at + len(record), n + len(tokens)
+            for d, raw in zip(ids, tok.encode(texts), strict=True):
+                tokens = np.frombuffer(raw + struct.pack("<I", end_id), "<u4")
+                record = frame(pack(d, tokens, width))
+                sink.write(record)
+                index += (at, len(record))
+                at, n = at + len(record), n + len(tokens)
         if sink is not None:
             sink.close()
             with store.open_output_stream(f"{path}/{name}.idx") as f:

@@ -1,21 +1,29 @@
 """Token ids of whole texts by a byte-level BPE of the tokenizers library.
 
-A text is cut before each space that a letter or digit follows. The tokenizer's own rule never joins what
+A text is cut before each space that a letter, digit or ASCII sign follows. The tokenizer's own rule never joins what
 stands on the two sides of such a place, so the ids of the pieces, one after another, are the ids of the
-text. Pieces recur, and are encoded once as long as they stay in a bounded cache.
+text. Nor does it join letters with the punctuation behind them, so a piece of letters and a tail is a word
+and its tail. Pieces and words recur: both stay in bounded caches, and the library encodes what is new, many
+words in one call.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
-#: A space that a letter or digit follows; it belongs to the piece after it.
-CUT = re.compile(r" (?=[^\W_])")
+#: A space that a letter, digit or ASCII sign follows; it belongs to the piece after it.
+CUT = re.compile(r" (?=[!-~]|[^\W_])")
 #: A space that none follows.
-ODD = re.compile(r" (?![^\W_])")
+ODD = re.compile(r" (?![!-~]|[^\W_])")
+#: Punctuation that may follow a word's letters.
+TAIL = ".,;:!?"
+#: Characters below it are letters by any version of Unicode if they are by this one.
+OLD_LETTERS = "ɐ"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -24,43 +32,110 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes: printable ones as themselves, the others from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+class Cache:
+    """Two generations of a dict: when the new one is full it becomes the old one."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def turn(self) -> None:
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Of the keys, those in neither generation; the others are in the new one afterwards."""
+        fresh = keys - self.new.keys()
+        again = fresh & self.old.keys()
+        self.new.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        return list(fresh - again)
+
+
 class Encoder:
-    #: Pieces that each of two generations holds, and the longest piece held.
+    #: Pieces and words held, for each generation, and the longest held.
     HELD, LONGEST = 300_000, 48
+    #: Characters of the texts that are encoded together, about.
+    TOGETHER = 4_000_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.size = self.tokenizer.get_vocab_size()
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.size = max(vocab.values()) + 1
+        letters = byte_letters()
+        self.space, self.letters = letters[32], str.maketrans({chr(b): c for b, c in letters.items()})
+        #: Whether an id's bytes begin with a space.
+        self.spaced = np.zeros(self.size, bool)
+        self.spaced[[i for w, i in vocab.items() if w.startswith(self.space)]] = True
+        # the same model for words that are cut and written in the vocabulary's letters already
+        self.model = Tokenizer.from_str(json.dumps(json.load(open(path)) | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+        self.model.pre_tokenizer = pre_tokenizers.Split(self.space, "merged_with_next")
+        self.pieces, self.words, self.tails = Cache(self.HELD), Cache(self.HELD), Cache(10_000)
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def each(self, words: list[str], plain: bool) -> dict[str, bytes]:
+        """The ids of words without spaces, with a space put before each; plain: they are all old letters."""
+        out = {}
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            text = " " + " ".join(some)
+            if plain:
+                found = self.model.encode_batch_fast([text.encode().decode("latin-1").translate(self.letters)], add_special_tokens=False)
+            else:
+                found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(found[0].ids, "<u4")
+            raw, starts = ids.tobytes(), (4 * np.flatnonzero(self.spaced[ids])).tolist()
+            out.update((w, raw[a:b]) for w, a, b in zip(some, starts, [*starts[1:], len(raw)], strict=True))
+        return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; none for null."""
-        cut = []
-        for t in texts:
-            t = " " + t if t else ""
-            # the space put in front of the first piece is taken off below
-            cut.append(t.split(" ")[1:] if t and not ODD.search(t, 1) else CUT.split(t[1:]) if t else [])
-        heads = [p[0] if p else "" for p in cut]
-        need = set().union(*(p[1:] for p in cut))
-        if len(self.new) > self.HELD:
-            self.old, self.new = self.new, {}
-        held, missing, long = self.new, [], {}
-        for p in need - held.keys():
-            if (ids := self.old.get(p)) is not None:
-                held[p] = ids
+        at = n = 0
+        for k, t in enumerate(texts):
+            n += len(t or "")
+            if n >= self.TOGETHER:
+                yield from self.together(texts[at : k + 1])
+                at, n = k + 1, 0
+        yield from self.together(texts[at:])
+
+    def together(self, texts: list[str | None]) -> list[bytes]:
+        cut = [[] if not t else CUT.split(t) if ODD.search(t) else t.split(" ") for t in texts]
+        for c in (self.pieces, self.words, self.tails):
+            c.turn()
+        simple, other, long = [], [], {}
+        missing = self.pieces.missing(set().union(*(p[1:] for p in cut)))
+        words = [p.rstrip(TAIL) for p in missing]
+        old = max("".join(words), default="") < OLD_LETTERS
+        for p, w in zip(missing, words, strict=True):
+            if w.isalpha() and (old or max(w) < OLD_LETTERS) and len(p) <= self.LONGEST:
+                simple.append((p, w))
+            elif " " in p:
+                (self.pieces.new if len(p) <= self.LONGEST else long)[p] = self.ids(" " + p)
             else:
-                missing.append(p)
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([" " + p for p in some], add_special_tokens=False), strict=True):
-                (held if len(p) <= self.LONGEST else long)[p] = np.array(e.ids, "<u4").tobytes()
-        first = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
-        get = (held | long if len(long) > len(held) else held).get if not long else lambda p: held.get(p) or long[p]
-        return [h + b"".join(map(get, p[1:])) for h, p in zip(first, cut, strict=True)]
+                other.append(p)
+        for p, ids in self.each(other, False).items():
+            (self.pieces.new if len(p) <= self.LONGEST else long)[p] = ids
+        self.words.new.update(self.each(self.words.missing({w for _, w in simple}), True))
+        for t in self.tails.missing({p[len(w) :] for p, w in simple}):
+            self.tails.new[t] = self.ids(t)
+        pieces, words, tails = self.pieces.new, self.words.new, self.tails.new
+        pieces.update([(p, words[w] + tails[p[len(w) :]]) for p, w in simple])
+        heads = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([p[0] if p else "" for p in cut], add_special_tokens=False)]
+        pieces.update(long)
+        out = [h + b"".join(map(pieces.__getitem__, p[1:])) for h, p in zip(heads, cut, strict=True)]
+        for p in long:
+            del pieces[p]
+        return out
 
 
 @functools.cache
