@@ -10,9 +10,12 @@ words in one call.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import re
 from collections.abc import Iterator
+from itertools import compress
+from operator import add, not_
 
 import numpy as np
 
@@ -95,7 +98,7 @@ class Encoder:
                 found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
             ids = np.array(found[0].ids, "<u4")
             raw, starts = ids.tobytes(), (4 * np.flatnonzero(self.spaced[ids])).tolist()
-            out.update((w, raw[a:b]) for w, a, b in zip(some, starts, [*starts[1:], len(raw)], strict=True))
+            out.update(zip(some, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
         return out
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -103,38 +106,39 @@ class Encoder:
         at = n = 0
         for k, t in enumerate(texts):
             n += len(t or "")
-            if n >= self.TOGETHER:
-                yield from self.together(texts[at : k + 1])
+            if n >= self.TOGETHER or k + 1 == len(texts):
+                on = gc.isenabled()
+                gc.disable()  # it makes many strings and no cycles
+                try:
+                    out = self.together(texts[at : k + 1])
+                finally:
+                    if on:
+                        gc.enable()
+                yield from out
                 at, n = k + 1, 0
-        yield from self.together(texts[at:])
 
     def together(self, texts: list[str | None]) -> list[bytes]:
         cut = [[] if not t else CUT.split(t) if ODD.search(t) else t.split(" ") for t in texts]
         for c in (self.pieces, self.words, self.tails):
             c.turn()
-        simple, other, long = [], [], {}
-        missing = self.pieces.missing(set().union(*(p[1:] for p in cut)))
-        words = [p.rstrip(TAIL) for p in missing]
-        old = max("".join(words), default="") < OLD_LETTERS
-        for p, w in zip(missing, words, strict=True):
-            if w.isalpha() and (old or max(w) < OLD_LETTERS) and len(p) <= self.LONGEST:
-                simple.append((p, w))
-            elif " " in p:
-                (self.pieces.new if len(p) <= self.LONGEST else long)[p] = self.ids(" " + p)
-            else:
-                other.append(p)
-        for p, ids in self.each(other, False).items():
-            (self.pieces.new if len(p) <= self.LONGEST else long)[p] = ids
-        self.words.new.update(self.each(self.words.missing({w for _, w in simple}), True))
-        for t in self.tails.missing({p[len(w) :] for p, w in simple}):
-            self.tails.new[t] = self.ids(t)
         pieces, words, tails = self.pieces.new, self.words.new, self.tails.new
-        pieces.update([(p, words[w] + tails[p[len(w) :]]) for p, w in simple])
+        missing = self.pieces.missing(set().union(*(p[1:] for p in cut)))
+        bare = [p.rstrip(TAIL) for p in missing]
+        simple = list(map(str.isalpha, bare))
+        if max("".join(bare), default="") >= OLD_LETTERS:
+            simple = [s and max(w) < OLD_LETTERS for s, w in zip(simple, bare, strict=True)]
+        whole, bare, other = list(compress(missing, simple)), list(compress(bare, simple)), list(compress(missing, map(not_, simple)))
+        pieces.update(self.each([p for p in other if " " not in p], False))
+        pieces.update((p, self.ids(" " + p)) for p in other if " " in p)
+        words.update(self.each(self.words.missing(set(bare)), True))
+        behind = [p[len(w) :] for p, w in zip(whole, bare, strict=True)]
+        tails.update((t, self.ids(t)) for t in self.tails.missing(set(behind)))
+        pieces.update(zip(whole, map(add, map(words.__getitem__, bare), map(tails.__getitem__, behind)), strict=True))
         heads = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([p[0] if p else "" for p in cut], add_special_tokens=False)]
-        pieces.update(long)
         out = [h + b"".join(map(pieces.__getitem__, p[1:])) for h, p in zip(heads, cut, strict=True)]
-        for p in long:
-            del pieces[p]
+        for cache, keys in ((pieces, missing), (words, bare)):
+            for k in [k for k in keys if len(k) > self.LONGEST]:
+                cache.pop(k, None)
         return out
 
 
