@@ -10,14 +10,14 @@ def connected_components(edges: DataFrame, store, u: str = "u", v: str = "v") ->
     """id, component (the smallest id reached), for every id that an edge names.
 
     Alternating large-star and small-star contractions: O(log n) rounds in practice, each of a few
-    aggregations on ids, and never more edges than at the start. `store.table(df, name)` writes a table
-    and reads it back; a group's size only shows in partial minima and in a join that AQE may split.
+    aggregations on ids, and never more edges than at the start. `store` keeps the tables of
+    a round; a group's size only shows in partial minima and in a join that AQE may split.
     """
     edges = edges.select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")).distinct()
     edges = store.table(edges, "edges")  # a <= b
     ids = store.table(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     edges = edges.where("a < b")
-    last = None
+    last = before = None
     while True:
         # large star: each neighbour above an id moves to the least of its neighbourhood
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.*")
@@ -28,8 +28,9 @@ def connected_components(edges: DataFrame, store, u: str = "u", v: str = "v") ->
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         down = large.join(least, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y"))
         small = store.table(down.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "small")
+        store.drop(large, *([before] if before else []))
         now = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break
-        last, edges = now, small
+        last, edges, before = now, small, small
     return ids.join(small.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -38,8 +38,9 @@ def least_labels(graph: Graph, store) -> DataFrame:
             new = store.table(found.join(state, "id").where("found < component").select("id", F.col("found").alias("component")), "changed")
             if new.isEmpty():
                 return state
-            state = store.table(state.unionByName(new).groupBy("id").agg(F.min("component").alias("component")), "labels")
-            frontier = new
+            merged = store.table(state.unionByName(new).groupBy("id").agg(F.min("component").alias("component")), "labels")
+            store.drop(state, *([frontier] if frontier is not state else []))
+            state, frontier = merged, new
 
 
 def sizes(labels: DataFrame) -> DataFrame:

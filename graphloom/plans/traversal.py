@@ -23,9 +23,9 @@ BROADCAST_ROWS = 1_000_000
 
 
 @contextmanager
-def dealt(edges: DataFrame, key: str) -> Iterator[DataFrame]:
-    """edges in memory or on disk, partitioned by a key, recomputed from their source if lost."""
-    kept = edges.repartition(key).persist(StorageLevel.MEMORY_AND_DISK)
+def dealt(edges: DataFrame, key: str | None) -> Iterator[DataFrame]:
+    """edges in memory or on disk, partitioned by a key (as they are, if none), recomputed from their source if lost."""
+    kept = (edges.repartition(key) if key else edges).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield kept
     finally:
@@ -66,9 +66,9 @@ def bfs(graph: Graph, store, root: int = 0, strategy: str = "auto", p: int | Non
     edges = graph.edges.select("src", "dst", X.partition_id("src", graph.n, p).alias("row_part"))
     if strategy == "range":
         edges = edges.repartitionByRange("dst")
-    key = "dst" if strategy in ("pull", "range") else "src"
+    key = {"pull": "dst", "range": None}.get(strategy, "src")
     levels = [store.table(graph.spark.createDataFrame([(root, 1, root)], "id long, level long, parent long"), "level")]
-    visited, rows = levels[0], 1
+    visited, rows, parts = levels[0], 1, levels[:]
     with dealt(edges, key) as kept:
         total, degree = (kept.count(), store.table(graph.out_degree(), "degree")) if strategy == "auto" else (0, None)
         while True:
@@ -87,8 +87,11 @@ def bfs(graph: Graph, store, root: int = 0, strategy: str = "auto", p: int | Non
             if not rows:
                 return visited
             levels.append(new)
-            if len(levels) % 16 == 0:  # one table again, so that plans stay short
-                visited = store.table(union([visited, new]), "visited")
+            parts.append(new)
+            if len(parts) == 16:  # one table again, so that plans stay short
+                visited = store.table(union(parts), "visited")
+                store.drop(*parts[:-1])
+                parts = [visited]
             else:
                 visited = visited.unionByName(new)
 
@@ -113,8 +116,9 @@ def shortest_paths(graph: Graph, store, root: int = 0, weight: str = "unit") ->
             new = store.table(new.select("id", F.col("found").alias("dist")), "frontier")
             if new.isEmpty():
                 return state
-            merged = state.unionByName(new).groupBy("id").agg(F.min("dist").alias("dist"))
-            state, frontier = store.table(merged, "state"), new
+            merged = store.table(state.unionByName(new).groupBy("id").agg(F.min("dist").alias("dist")), "state")
+            store.drop(state, *([frontier] if frontier is not state else []))
+            state, frontier = merged, new
 
 
 def path_parents(graph: Graph, dist: DataFrame, weight: str = "edge") -> DataFrame:
