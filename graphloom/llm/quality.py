@@ -103,10 +103,9 @@ def accepted(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> Dat
 
 
 def digest(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """doc_id, the base measures, base_failed and kept, failures."""
+    """doc_id and its ledger (MEASURES, failures), with base_failed and kept by a policy."""
     out = ledger(docs.select("doc_id", "text"))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return out.select("doc_id", *names, (~passes(BASE)).alias("base_failed"), passes(POLICIES[policy]).alias("kept"), "failures")
+    return out.select("doc_id", *MEASURES, "failures", (~passes(BASE)).alias("base_failed"), passes(POLICIES[policy]).alias("kept"))
 
 
 #: The same by brute force over the words themselves.
@@ -125,9 +124,9 @@ WITH d AS (
 ), m AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(list_aggregate(w, 'string_agg', ''))::BIGINT AS wc,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
-         length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_capitals,
-         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_doubled,
-         len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+         length(regexp_replace(text, '[^A-Z]+', '', 'g'))::BIGINT AS n_capitals,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_doubled,
+         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN covered USING (r)
 ), f AS (
@@ -141,7 +140,7 @@ WITH d AS (
          + (CASE WHEN coalesce(wc, 0) < 2 * n_words OR coalesce(wc, 0) > 20 * n_words THEN 64 ELSE 0 END) AS failures
   FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+SELECT doc_id, n_words, word_chars, n_symbols, n_capitals, n_doubled, n_lines, n_dup_lines, n_repeat_words,
        (failures & 3) <> 0 AS base_failed, (failures & 31) = 0 AS kept, failures::INTEGER AS failures
 FROM f
 """
