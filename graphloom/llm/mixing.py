@@ -12,7 +12,7 @@ no task holds a source, however large.
 A null or blank text has size zero: such documents are taken as often as their source's epochs, and count
 nothing. Sources come in order of code points, null last. Ids order documents only by their hash; repeated
 rows are taken each, ties go by doc_id, then size. Other columns of the input play no part in
-`training_order`, and are passed on by `mixture`. An empty table gives an empty result.
+`ordered`, and are passed on by `mixture`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import Scratch, column, held, words
+from .common import Scratch, column, words
 
 #: Weights of the sources in turn, words of the mix by those there are, and times a source may be used.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -32,7 +32,7 @@ BUCKET_BITS = 12
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, schedules: tuple[tuple[float, float], ...] = SCHEDULES) -> DataFrame:
-    """source, source_size, target, a, b (start and end of its schedule) from source, source_size.
+    """sizes (source, source_size and more) with target, a, b (start and end of its schedule).
 
     Shares go by weight; a source stops at `most` times its size, and what is above goes to the others by
     weight, until none is above. So, in order of size by weight, the sources up to some point are full and
@@ -40,7 +40,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """
     at = F.row_number().over(W.Window.orderBy(F.col("source").asc_nulls_last())) - 1
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("at") % len(values) + 1).cast("int"))
-    df = sizes.withColumn("at", at).select("source", "source_size", pick(weights).alias("weight"), pick([s[0] for s in schedules]).alias("a"), pick([s[1] for s in schedules]).alias("b"))
+    df = sizes.withColumn("at", at).select(*sizes.columns, pick(weights).alias("weight"), pick([s[0] for s in schedules]).alias("a"), pick([s[1] for s in schedules]).alias("b"))
     order = W.Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
     whole = W.Window.partitionBy()
     df = df.withColumns({
@@ -53,7 +53,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     df = df.withColumn("is_full", F.col("level") * F.col("weight") >= F.col("source_size") * most)
     df = df.withColumn("level", F.min(F.when(~F.col("is_full"), F.struct(F.col("full"), F.col("level"))).otherwise(None)).over(whole)["level"])
     target = F.least(F.coalesce(F.col("level") * F.col("weight"), (F.col("source_size") * most).cast("double")), (F.col("source_size") * most).cast("double"))
-    return df.select("source", "source_size", target.alias("target"), "a", "b")
+    return df.select(*sizes.columns, target.alias("target"), "a", "b")
 
 
 def position(before: Column, target: Column, a: Column, b: Column) -> Column:
@@ -63,24 +63,30 @@ def position(before: Column, target: Column, a: Column, b: Column) -> Column:
     return F.when(a == b, y / a).otherwise((F.sqrt(a * a + 2 * (b - a) * y) - a) / (b - a))
 
 
-def training_order(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
-    """row, doc_id, size, source, source_size, target, copies, taken, first and next (positions of the first
-    copy and of the second; null if there is none). row tells the rows of docs apart: their row_col, or a number given here."""
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """doc_id, source, known (the source, never null), size, hash and bucket of each row of docs, and more columns."""
     size = F.size(words(column(docs, text_col).cast("string"))).cast("long")
     id_, source = column(docs, id_col).cast("long"), column(docs, source_col).cast("string")
-    rows = scratch.table(docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), id_.alias("doc_id"), source.alias("source"), size.alias("size")), "sizes")
-    digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15)
-    rows = rows.withColumn("hash", F.conv(digits, 16, 10).cast("long")).withColumn("bucket", F.shiftright("hash", 60 - BUCKET_BITS))
-    sums = scratch.table(rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")), "buckets")
-    of = scratch.table(targets(sums.groupBy("source").agg(F.sum("in_bucket").alias("source_size"))), "targets")
-    before = F.sum("in_bucket").over(W.Window.partitionBy("source").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1))
-    sums = sums.select("source", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
+    digits = F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit(""))), 1, 15)
+    known = F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))  # not null: one partitioning serves window and join
+    rows = docs.select(id_.alias("doc_id"), source.alias("source"), known.alias("known"), size.alias("size"), F.conv(digits, 16, 10).cast("long").alias("hash"), *more)
+    return rows.withColumn("bucket", F.shiftright("hash", 60 - BUCKET_BITS))
+
+
+def training_order(rows: DataFrame, sums: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (as of `sized`) with source_size, target, copies, taken, first and next (positions of the first
+    copy and of the second; null if there is none). sums: known, source, bucket, in_bucket (words)."""
+    names = [c for c in rows.columns if c not in ("hash", "bucket", "known")]
+    sums = scratch.table(sums, "buckets")
+    of = sums.groupBy("known").agg(F.first("source").alias("source"), F.sum("in_bucket").alias("source_size"))
+    of = scratch.table(targets(of), "targets")
+    before = F.sum("in_bucket").over(W.Window.partitionBy("known").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1))
+    sums = sums.select("known", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
     # a row for each source and bucket: 4096 times the sources, whatever there are of documents
-    sums = sums.alias("s").join(of.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "bucket", "base", "source_size", "target", "a", "b")
-    r, s = rows.alias("r"), sums.alias("s")
-    rows = r.join(s, F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.bucket") == F.col("s.bucket"))).select("r.*", "base", "source_size", "target", "a", "b")
-    within = W.Window.partitionBy("source", "bucket").orderBy("hash", "doc_id", "size", "row").rowsBetween(W.Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    sums = sums.join(of.select("known", "source_size", "target", "a", "b"), "known")
+    within = W.Window.partitionBy("known", "bucket").orderBy("hash", "doc_id", "size").rowsBetween(W.Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["known", "bucket"])
+    rows = rows.withColumn("before", F.col("base") + F.col("before"))
     total = F.col("source_size")
     epochs = F.when(total > 0, F.floor(F.col("target") / total)).otherwise(F.lit(1)).cast("long")
     rest = F.col("target") - epochs * total
@@ -88,24 +94,36 @@ def training_order(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     rows = rows.withColumn("copies", (epochs + F.when(more, 1).otherwise(0)).cast("int"))
     when = lambda done: position((F.col("before") + done).cast("double"), F.col("target"), F.col("a"), F.col("b"))
     return rows.select(
-        "row", "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+        *names, "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
         F.when(F.col("copies") > 0, when(F.lit(0))).alias("first"), F.when(F.col("copies") > 1, when(total)).alias("next"),
     )
 
 
+def bucket_sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("known", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("in_bucket"))
+
+
+def ordered(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """training_order of docs: doc_id, source, size and what it adds."""
+    rows = scratch.table(sized(docs, id_col, text_col, source_col), "sizes")
+    return training_order(rows, bucket_sums(rows), scratch)
+
+
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs, as often as the mix takes them, in training order (ranges of position)."""
+    """The rows of docs, as often as the mix takes them, in training order (ranges of position).
+
+    Texts move twice: to their source's bucket, and to their position.
+    """
     scratch = Scratch(docs.sparkSession, "mixture")
-    rows = held(docs, scratch)
-    of = lambda name, to: F.col("doc").getField(name).alias(to)
-    order = training_order(rows.select("row", of(id_col, "doc_id"), of(text_col, "text"), of(source_col, "source")), scratch, row_col="row")
-    times = order.select("row", F.explode(F.array_compact(F.array("first", "next"))).alias("at"))
-    return rows.join(times, "row").repartitionByRange("at", "row").sortWithinPartitions("at", "row").select("doc.*")
+    sums = bucket_sums(sized(docs, id_col, text_col, source_col))
+    order = training_order(sized(docs, id_col, text_col, source_col, F.struct("*").alias("doc")), sums, scratch)
+    times = order.select("doc", "doc_id", F.explode(F.array_compact(F.array("first", "next"))).alias("at"))
+    return times.repartitionByRange("at", "doc_id").sortWithinPartitions("at", "doc_id").select("doc.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken and first, the position of a document's first copy."""
-    return training_order(docs, Scratch(docs.sparkSession, "mixing")).select("doc_id", "size", "source_size", "target", "taken", (F.round("first", 9) + 0.0).alias("first"))
+    return ordered(docs, Scratch(docs.sparkSession, "mixing")).select("doc_id", "size", "source_size", "target", "taken", (F.round("first", 9) + 0.0).alias("first"))
 
 
 SQL = r"""

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, held
+from .common import Scratch, column
 
 #: Fixed patterns: kind, expression, the group that holds the value, its least length, and an expression
 #: that every text with such a match has.
@@ -119,20 +119,24 @@ def digest(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "[secret]") -> DataFrame:
     """docs with every value that isn't a copied example replaced in its text by a mark."""
     scratch = Scratch(docs.sparkSession, "redacted")
-    rows = held(docs, scratch)
-    text = F.col("doc").getField(text_col)
-    of = lambda name: F.col("doc").getField(name).cast("string")
+    text = F.coalesce(column(docs, text_col).cast("string"), F.lit(""))
+    maybe = text.rlike(PATTERNS[0][4])
+    for p in PATTERNS[1:]:
+        maybe = maybe | text.rlike(p[4])
+    # only what may hold a secret is written down and joined; all other texts stay where they are
+    row = F.monotonically_increasing_id().alias("row")
     hashed = F.transform("spans", lambda s: F.struct(s["value"].alias("value"), F.sha2(s["value"], 256).alias("hash")))
-    marked = rows.select("row", of(owner_col).alias("owner"), of(repo_col).alias("repo"), F.coalesce(of(text_col), F.lit("")).alias("text"))
-    marked = scratch.table(marked.withColumn("spans", base_spans(F.col("text"))).select("row", "owner", "repo", hashed.alias("spans")), "spans")
-    say = verdicts(ownership(marked)).select(F.col("hash").alias("known"), "verdict")
-    some = marked.where(F.size("spans") > 0).select("row", F.explode(F.array_distinct("spans")).alias("s"))
+    of = lambda name: F.col("doc").getField(name).cast("string")
+    rows = docs.where(maybe).select(row, F.struct("*").alias("doc")).withColumn("spans", base_spans(F.coalesce(of(text_col), F.lit(""))))
+    rows = scratch.table(rows.withColumns({"spans": hashed, "owner": of(owner_col), "repo": of(repo_col)}), "candidates")
+    say = verdicts(ownership(rows)).select(F.col("hash").alias("known"), "verdict")
+    some = rows.where(F.size("spans") > 0).select("row", F.explode(F.array_distinct("spans")).alias("s"))
     some = some.join(say, F.col("s.hash") == F.col("known")).where("verdict <> 'copied'").select("row", F.col("s.value").alias("value"))
     # the longest first: a value may hold another
     some = some.groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.char_length("value").alias("n"), "value")), asc=False).alias("values"))
-    clean = F.aggregate("values", text.cast("string"), lambda acc, v: F.replace(acc, v["value"], F.lit(mark)))
+    clean = F.aggregate("values", of(text_col), lambda acc, v: F.replace(acc, v["value"], F.lit(mark)))
     doc = F.when(F.col("values").isNull(), F.col("doc")).otherwise(F.col("doc").withField(text_col, clean))
-    return rows.join(some, "row", "left").select(doc.alias("doc")).select("doc.*")
+    return docs.where(~maybe).unionAll(rows.join(some, "row", "left").select(doc.alias("doc")).select("doc.*"))
 
 
 SQL = rf"""

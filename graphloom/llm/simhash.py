@@ -22,17 +22,38 @@ from pyspark.sql import functions as F
 
 from graphloom.iterate import connected_components
 
-from .common import Scratch, column, held, map_rows
+from .common import Scratch, column, map_rows
 
 #: Least and most rows of a tile; in between there are about TILES of them.
 TILE_LEAST, TILE_MOST, TILES = 8192, 1_000_000, 256
 
+#: Radius up to which tiles are cut into runs of equal counts, each compared with those in reach alone.
+RUNS = 8
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64 bits: each is the majority of that bit over the hashes of all shingles, repeats included."""
+#: Fingerprints of documents in which near-duplicates are to be found: 64-bit parts, and the bits that may
+#: differ in one part and in all. Two texts of similarity j (of their sets of shingles) differ in about
+#: acos(2 j / (1 + j)) / pi of all bits: 39 of 256 for 0.8, with a deviation of 6; unrelated ones in half.
+PARTS, PART_BITS, ALL_BITS = 4, 18, 45
+
+#: Rows (24 bytes) of documents that go that are sent to all executors; beyond it they are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def spread(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of several hash functions, made from one; the first is that itself."""
+    if not k:
+        return hashes
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, shingle: int = 3, parts: int = 1) -> bytes:
+    """parts times 64 bits: each is the majority of that bit over the hashes of all shingles, repeats included."""
     line = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())  # bytes.lower: A-Z only
     if not line:
-        return 0
+        return bytes(8 * parts)
     starts = np.flatnonzero(np.frombuffer(line, np.uint8) == 32) + 1
     starts = np.concatenate([[0], starts, [len(line) + 1]])
     n = len(starts) - 1
@@ -40,22 +61,26 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     end = (starts[min(shingle, n) :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(line[a:b], 42) for a, b in zip(begin, end, strict=True)], "<u8")
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 8192):
-        bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(0, dtype=np.int32)
-    majority = np.packbits(2 * total > len(hashes), bitorder="little")
-    return int(majority.view("<i8")[0])
+    total = np.zeros(64 * parts, np.int64)
+    for k in range(parts):
+        for at in range(0, len(hashes), 8192):
+            bits = np.unpackbits(spread(hashes[at : at + 8192], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total[64 * k : 64 * k + 64] += bits.sum(0, dtype=np.int32)
+    return np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), a row for each row of docs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, parts: int = 1, key: F.Column | None = None) -> DataFrame:
+    """doc_id, fp (the first 64 bits as a signed long), rest (the other parts' bytes), node (a number for
+    the whole fingerprint) and key, a long passed on: a row for each row of docs."""
 
     def run(batches: Iterator) -> Iterator[dict]:
         for b in batches:
-            yield {"doc_id": b.column(0), "fp": [fingerprint(t, shingle) for t in b.column(1).to_pylist()]}
+            all_ = [fingerprint(t, shingle, parts) for t in b.column(1).to_pylist()]
+            yield {"doc_id": b.column(0), "fp": np.frombuffer(b"".join(x[:8] for x in all_), "<i8"), "rest": [x[8:] for x in all_], "key": b.column(2)}
 
-    return map_rows(docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text")), run, "doc_id long,fp long")
+    key = F.lit(0).cast("long") if key is None else key
+    out = map_rows(docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"), key.alias("key")), run, "doc_id long,fp long,rest binary,key long")
+    return out.withColumn("node", F.xxhash64("fp", "rest") if parts > 1 else F.col("fp"))
 
 
 class Forest:
@@ -75,41 +100,54 @@ class Forest:
                 parent[:] = up
 
 
-def compare_tiles(x: np.ndarray, y: np.ndarray | None, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Spanning links between (or, with y None, within) two sorted tiles of distinct fingerprints."""
-    nodes = x if y is None else np.concatenate([x, y])
-    right, shift = (x, 0) if y is None else (y, len(x))
-    forest = Forest(len(nodes))
-    pops = np.bitwise_count(right).astype(np.int64)
-    halves = np.bitwise_count(right >> np.uint64(32)).astype(np.int64)
-    order = pops * 64 + halves  # both sides are sorted by it
+def spans(x: np.ndarray, right: np.ndarray, radius: int, within: bool) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges of x and of right, both sorted, outside of which no two fingerprints lie within the radius."""
+    if radius > RUNS:  # too wide to leave anything out
+        yield 0, len(x), 0, len(right)
+        return
+    order = np.bitwise_count(right).astype(np.int64) * 64 + np.bitwise_count(right >> np.uint64(32))
     mine = np.bitwise_count(x).astype(np.int64) * 64 + np.bitwise_count(x >> np.uint64(32))
     cuts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1], [True]]))
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         p, h = divmod(int(mine[lo]), 64)
-        for q in range(p if y is None else max(0, p - radius), p + radius + 1):
+        for q in range(p if within else max(0, p - radius), p + radius + 1):
             # what the halves' counts differ by in sum is a lower bound of the differing bits
             slack = (radius - abs(q - p)) // 2
             h_lo, h_hi = h + min(0, q - p) - slack, h + max(0, q - p) + slack
             a, b = np.searchsorted(order, [q * 64 + max(0, h_lo), q * 64 + min(63, h_hi) + 1])
-            if a == b:
-                continue
-            step = max(1, 1_000_000 // int(b - a))
-            for i in range(lo, hi, step):
-                left = x[i : min(hi, i + step)]
-                r, c = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, a:b]) <= radius)
-                if len(r):
-                    forest.link(r + i, c + (a + shift))
-    child = np.flatnonzero(forest.parent != np.arange(len(nodes)))
-    return [(nodes[child].view(np.int64), nodes[forest.parent[child]].view(np.int64))] if len(child) else []
-
-
-def links(nodes: DataFrame, scratch: Scratch, radius: int = 3) -> DataFrame:
-    """u, v: links of distinct fingerprints (column fp) that span every component."""
+            if a < b:
+                yield lo, hi, int(a), int(b)
+
+
+def compare_tiles(x: np.ndarray, y: np.ndarray | None, radius: int, total: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Spanning links between (or, with y None, within) two sorted tiles, as positions in x followed by y.
+
+    A tile has a row for each fingerprint and a column for each part. A link is at most `radius` bits in
+    every part and `total` in all.
+    """
+    right, shift = (x, 0) if y is None else (y, len(x))
+    forest = Forest(len(x) + (0 if y is None else len(y)))
+    for lo, hi, a, b in spans(x[:, 0], right[:, 0], radius, y is None):
+        step = max(1, 1_000_000 // (b - a))
+        for i in range(lo, hi, step):
+            r, c = np.nonzero(np.bitwise_count(x[i : min(hi, i + step), 0][:, None] ^ right[None, a:b, 0]) <= radius)
+            if len(r) and x.shape[1] > 1:
+                apart = np.bitwise_count(x[r + i] ^ right[c + a])
+                near = (apart.max(1) <= radius) & (apart.sum(1, dtype=np.int64) <= total)
+                r, c = r[near], c[near]
+            if len(r):
+                forest.link(r + i, c + (a + shift))
+    child = np.flatnonzero(forest.parent != np.arange(len(forest.parent)))
+    if len(child):
+        yield child, forest.parent[child]
+
+
+def links(nodes: DataFrame, scratch: Scratch, radius: int = 3, parts: int = 1, total: int | None = None) -> DataFrame:
+    """u, v: links of distinct fingerprints (columns fp, rest, node) that span every component."""
     n = nodes.count()
     tile_rows = min(TILE_MOST, max(TILE_LEAST, n // TILES))
     halves = F.bit_count(F.shiftrightunsigned("fp", 32))
-    ordered = nodes.select("fp", F.bit_count("fp").cast("int").alias("pop"), halves.cast("int").alias("half"))
+    ordered = nodes.select("fp", "rest", "node", F.bit_count("fp").cast("int").alias("pop"), halves.cast("int").alias("half"))
     ordered = ordered.repartitionByRange(max(1, -(-n // tile_rows)), "pop", "half", "fp").sortWithinPartitions("pop", "half", "fp")
 
     def cut(batches: Iterator) -> Iterator[dict]:
@@ -117,66 +155,93 @@ def links(nodes: DataFrame, scratch: Scratch, radius: int = 3) -> DataFrame:
 
         part, k, held = TaskContext.get().partitionId(), 0, []
 
-        def tile(fps: np.ndarray) -> dict:
-            pops = np.bitwise_count(fps)
-            return {"tile": [part * 1_000_000 + k], "lo": [int(pops[0])], "hi": [int(pops[-1])], "fps": [fps.tobytes()]}
+        def tile(rows: np.ndarray) -> dict:
+            pops = np.bitwise_count(rows[:, 0])
+            return {"tile": [part * 1_000_000 + k], "lo": [int(pops[0])], "hi": [int(pops[-1])], "fps": [rows[:, :parts].tobytes()], "ids": [rows[:, parts].tobytes()]}
 
         for b in batches:
-            held.append(b.column(0).to_numpy().astype(np.int64).view(np.uint64))
+            rows = np.empty((b.num_rows, parts + 1), np.uint64)
+            rows[:, 0] = b.column(0).to_numpy().astype(np.int64).view(np.uint64)
+            rows[:, 1:parts] = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(b.num_rows, parts - 1)
+            rows[:, parts] = b.column(2).to_numpy().astype(np.int64).view(np.uint64)
+            held.append(rows)
             if sum(map(len, held)) >= tile_rows:
                 rows = np.concatenate(held)
                 while len(rows) >= tile_rows:
                     yield tile(rows[:tile_rows])
                     rows, k = rows[tile_rows:], k + 1
                 held = [rows]
-        rows = np.concatenate([*held, np.zeros(0, np.uint64)])
+        rows = np.concatenate([*held, np.zeros((0, parts + 1), np.uint64)])
         if len(rows):
             yield tile(rows)
 
-    tiles = scratch.table(map_rows(ordered, cut, "tile long,lo int,hi int,fps binary"), "tiles")
+    tiles = scratch.table(map_rows(ordered, cut, "tile long,lo int,hi int,fps binary,ids binary"), "tiles")
     # tiles follow each other in order of population count: near ones meet at a count
     a = tiles.select(F.col("tile").alias("a"), F.explode(F.sequence("lo", F.col("hi") + radius)).alias("pop"))
     b = tiles.select(F.col("tile").alias("b"), F.explode(F.sequence("lo", "hi")).alias("pop"))
     pairs = scratch.table(a.join(b, "pop").where("a <= b").select("a", "b").distinct(), "pairs")
-    both = pairs.join(tiles.select(F.col("tile").alias("a"), F.col("fps").alias("x")), "a")
-    both = both.join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("y")), "b")
+    both = pairs.join(tiles.select(F.col("tile").alias("a"), F.col("fps").alias("x"), F.col("ids").alias("x_ids")), "a")
+    both = both.join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("y"), F.col("ids").alias("y_ids")), "b")
     tasks = max(1, min(pairs.count(), 4 * nodes.sparkSession.sparkContext.defaultParallelism if n < 1_000_000 else 2000))
 
     def compare(batches: Iterator) -> Iterator[dict]:
+        matrix = lambda raw: np.frombuffer(raw, np.uint64).reshape(-1, parts)
         for batch in batches:
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                left = np.frombuffer(x, np.uint64)
-                for u, v in compare_tiles(left, None if a == b else np.frombuffer(y, np.uint64), radius):
-                    yield {"u": u, "v": v}
+            for a, b, x, y, x_ids, y_ids in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                ids = np.frombuffer(x_ids if a == b else x_ids + y_ids, np.int64)
+                for u, v in compare_tiles(matrix(x), None if a == b else matrix(y), radius, total):
+                    yield {"u": ids[u], "v": ids[v]}
 
-    return map_rows(both.select("a", "b", "x", "y").repartition(tasks, "a", "b"), compare, "u long,v long")
+    return map_rows(both.select("a", "b", "x", "y", "x_ids", "y_ids").repartition(tasks, "a", "b"), compare, "u long,v long")
+
+
+def grouped(fps: DataFrame, scratch: Scratch, radius: int, parts: int = 1, total: int | None = None) -> DataFrame:
+    """node, component (one number for all fingerprints that links connect)."""
+    nodes = scratch.table(fps.groupBy("node").agg(F.first("fp").alias("fp"), F.first("rest").alias("rest")), "nodes")
+    edges = scratch.table(links(nodes, scratch, radius, parts, total), "links")
+    labels = connected_components(edges, scratch)  # id, component: of fingerprints that have links
+    labels = nodes.select("node").join(labels.withColumnRenamed("id", "node"), "node", "left")
+    return scratch.table(labels.select("node", F.coalesce("component", "node").alias("component")), "labelled")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fp (long), component_id: the smallest doc_id that links of at most `radius` bits reach."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.table(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    edges = scratch.table(links(nodes, scratch, radius), "links")
-    labels = connected_components(edges, scratch)  # id, component: of fingerprints that have links
-    nodes = nodes.join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    nodes = scratch.table(nodes, "labelled")
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(least, "component").select("fp", "component_id")
-    return fps.join(nodes, "fp").select("doc_id", "fp", "component_id")
+    labels = grouped(fps, scratch, radius)
+    least = fps.groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node")
+    least = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    return fps.join(labels.join(least, "component").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, parts: int = PARTS, radius: int = PART_BITS, total: int = ALL_BITS) -> DataFrame:
     """The rows of docs, with their columns as they are, one from each group of near-duplicates: that of the
-    smallest id (null last, one of its rows if it repeats)."""
+    smallest id (null last, ties by a hash of the text, one row if it repeats).
+
+    Groups are made by links of fingerprints of 256 bits over five-word shingles, which stand for a
+    similarity of 0.8 or more: see ALL_BITS.
+    """
     scratch = Scratch(docs.sparkSession, "one-of-each")
-    rows = held(docs, scratch)
-    of = lambda name, to: F.col("doc").getField(name).alias(to)
-    ids = rows.select("row", of(id_col, "id"), of(text_col, "text"))
-    groups = near_duplicates(ids, "row", "text", shingle, radius).select(F.col("doc_id").alias("row"), "component_id")
-    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("first")
-    keep = ids.select("row", "id").join(groups, "row").groupBy("component_id").agg(first).select("first.row")
-    return rows.join(keep, "row", "left_semi").select("doc.*")
+    key = F.xxhash64(F.coalesce(column(docs, text_col).cast("string"), F.lit("")))
+    id_ = column(docs, id_col).cast("long")
+    fps = scratch.table(fingerprints(docs, id_col, text_col, shingle, parts, key), "fingerprints")
+    labels = grouped(fps, scratch, radius, parts, total)
+    rows = fps.groupBy("node", "doc_id", "key").agg(F.count("*").alias("n")).join(labels, "node")
+    rows = scratch.table(rows.select("component", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key").alias("who"), "n"), "rows")
+    first = rows.groupBy("component").agg(F.min("who").alias("first"))
+    judged = rows.join(first, "component").select(F.col("who.doc_id").alias("known_id"), F.col("who.key").alias("known_key"), (F.col("who") != F.col("first")).alias("goes"), "n")
+    # a row for each id and text that goes, or that comes several times
+    judged = scratch.table(judged.where("goes or n > 1"), "judged")
+    total = judged.count()
+    goes, more = judged.where("goes"), judged.where("not goes")
+    near = F.broadcast if total <= BROADCAST_ROWS else (lambda df: df)
+    on = id_.eqNullSafe(F.col("known_id")) & (key == F.col("known_key"))
+    kept = docs.join(near(goes), on, "left_anti")
+    if more.isEmpty():
+        return kept
+    once = docs.join(near(more), on, "left_semi").select(F.struct("*").alias("doc"), id_.alias("id"), key.alias("key"))
+    once = once.groupBy("id", "key").agg(F.any_value("doc").alias("doc")).select("doc.*")
+    return kept.join(near(more), on, "left_anti").unionAll(once)
 
 
 def fingerprint_hex(fp: str = "fp") -> F.Column:

@@ -269,7 +269,7 @@ def filled(sizes, weights=(5, 2, 1), share=1.5, most=2):
 
 
 def test_mixture(spark, odd, empty):
-    rows = mixing.training_order(odd, Scratch(spark, "t")).collect()
+    rows = mixing.ordered(odd, Scratch(spark, "t")).collect()
     sizes = Counter()
     for r in odd.collect():
         sizes[r["source"]] += len((r["text"] or "").encode().split())
@@ -291,7 +291,7 @@ def test_schedules_integrate(spark):
     """Where a source's weight grows, its documents come late."""
     docs = spark.createDataFrame([(i, "w " * 10, "abc"[i % 3]) for i in range(900)], "doc_id long, text string, source string")
     at = defaultdict(list)
-    for r in mixing.training_order(docs, Scratch(spark, "t")).collect():
+    for r in mixing.ordered(docs, Scratch(spark, "t")).collect():
         at[r["source"]] += [x for x in (r["first"], r["next"]) if x is not None]
     assert np.mean(at["b"]) > np.mean(at["a"]) > np.mean(at["c"])
     assert all(0 <= x <= 1 for xs in at.values() for x in xs)
@@ -370,7 +370,7 @@ def test_simhash(spark, odd, empty, monkeypatch):
     want = sorted(str((d, f"{f:016x}", least.get(g))) for (d, _), f, g in zip(rows, fps, groups, strict=True))
     got = simhash.near_duplicates(docs).select("doc_id", simhash.fingerprint_hex(), "component_id").collect()
     assert sorted(str(tuple(r)) for r in got) == want
-    one = simhash.one_of_each(docs)
+    one = simhash.one_of_each(docs, shingle=3, parts=1, radius=3)
     assert one.columns == docs.columns and one.count() == len(set(groups))
     assert sorted(r["doc_id"] for r in one.where("doc_id is not null").collect()) == sorted(least.values())
     assert simhash.near_duplicates(empty).collect() == [] and simhash.one_of_each(empty).collect() == []
@@ -381,15 +381,31 @@ def test_simhash(spark, odd, empty, monkeypatch):
 def test_tiles(flips, base, seed):
     rng = random.Random(seed)
     fps = sorted({base} | {base ^ sum(1 << b for b in rng.sample(range(64), k)) for k in flips for _ in range(5)} | {rng.getrandbits(64) for _ in range(30)}, key=lambda f: (f.bit_count(), (f >> 32).bit_count(), f))
-    a = np.array(fps, np.uint64)
+    a = np.array(fps, np.uint64).reshape(-1, 1)
     cut = len(a) // 2
-    edges = [e for x, y in ((a[:cut], None), (a[cut:], None), (a[:cut], a[cut:])) if len(x) for e in simhash.compare_tiles(x, y, 3)]
-    at = {f: i for i, f in enumerate(a.view(np.int64).tolist())}
-    forest = simhash.Forest(len(a))
-    for u, v in edges:
-        forest.link(np.array([at[x] for x in u.tolist()]), np.array([at[x] for x in v.tolist()]))
-    want = brute_groups(fps)
-    assert len({(x, y) for x, y in zip(forest.parent.tolist(), want, strict=True)}) == len(set(want)) == len(set(forest.parent.tolist()))
+    for radius in (3, 12):
+        forest = simhash.Forest(len(a))
+        for x, y, base in ((a[:cut], None, 0), (a[cut:], None, cut), (a[:cut], a[cut:], 0)):
+            for u, v in simhash.compare_tiles(x, y, radius) if len(x) else ():
+                forest.link(u + base, v + base)
+        want = brute_groups(fps, radius)
+        assert len(set(zip(forest.parent.tolist(), want, strict=True))) == len(set(want)) == len(set(forest.parent.tolist()))
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmno", k=rng.randint(2, 8))) for _ in range(3000)]
+    rows = []
+    for i in range(40):
+        text = rng.choices(words, k=rng.randint(100, 400))
+        rows += [(10 * i, " ".join(text)), (10 * i + 1, " ".join(text).upper())]
+        near = text[:]
+        for at in rng.sample(range(len(near)), max(1, len(near) // 100)):  # five shingles each: 0.9 stay
+            near[at] = "edited"
+        rows.append((10 * i + 2, " ".join(near)))
+        rows.append((10 * i + 3, " ".join(text[:60] + rng.choices(words, k=len(text)))))  # a shared passage alone
+    got = sorted(r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(d for d, _ in rows if d % 10 in (0, 3))
 
 
 # ---- 9 licences
