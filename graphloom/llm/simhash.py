@@ -180,9 +180,13 @@ def links(nodes: DataFrame, scratch: Scratch, radius: int = 3, parts: int = 1, t
     a = tiles.select(F.col("tile").alias("a"), F.explode(F.sequence("lo", F.col("hi") + radius)).alias("pop"))
     b = tiles.select(F.col("tile").alias("b"), F.explode(F.sequence("lo", "hi")).alias("pop"))
     pairs = scratch.table(a.join(b, "pop").where("a <= b").select("a", "b").distinct(), "pairs")
-    both = pairs.join(tiles.select(F.col("tile").alias("a"), F.col("fps").alias("x"), F.col("ids").alias("x_ids")), "a")
-    both = both.join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("y"), F.col("ids").alias("y_ids")), "b")
-    tasks = max(1, min(pairs.count(), 4 * nodes.sparkSession.sparkContext.defaultParallelism if n < 1_000_000 else 2000))
+    # one tile of a pair stays at home, the other comes to it: each pair moves one tile
+    home = F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0
+    pairs = pairs.select(F.when(home, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(home, F.col("b")).otherwise(F.col("a")).alias("b"))
+    tasks = max(1, min(2000, 2 * tiles.count()))
+    here = tiles.select(F.col("tile").alias("a"), F.col("fps").alias("x"), F.col("ids").alias("x_ids")).repartition(tasks, "a")
+    both = pairs.join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("y"), F.col("ids").alias("y_ids")), "b")
+    both = both.repartition(tasks, "a").join(here, "a").select("a", "b", "x", "y", "x_ids", "y_ids")
 
     def compare(batches: Iterator) -> Iterator[dict]:
         matrix = lambda raw: np.frombuffer(raw, np.uint64).reshape(-1, parts)
@@ -192,7 +196,7 @@ def links(nodes: DataFrame, scratch: Scratch, radius: int = 3, parts: int = 1, t
                 for u, v in compare_tiles(matrix(x), None if a == b else matrix(y), radius, total):
                     yield {"u": ids[u], "v": ids[v]}
 
-    return map_rows(both.select("a", "b", "x", "y", "x_ids", "y_ids").repartition(tasks, "a", "b"), compare, "u long,v long")
+    return map_rows(both, compare, "u long,v long")
 
 
 def grouped(fps: DataFrame, scratch: Scratch, radius: int, parts: int = 1, total: int | None = None) -> DataFrame:

@@ -62,9 +62,9 @@ class Cache:
 
 class Encoder:
     #: Pieces and words held, for each generation, and the longest held.
-    HELD, LONGEST = 300_000, 48
+    HELD, LONGEST = 220_000, 48
     #: Characters of the texts that are encoded together, about.
-    TOGETHER = 4_000_000
+    TOGETHER = 3_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
