@@ -192,6 +192,8 @@ def links(nodes: DataFrame, scratch: Scratch, radius: int = 3, parts: int = 1, t
         matrix = lambda raw: np.frombuffer(raw, np.uint64).reshape(-1, parts)
         for batch in batches:
             for a, b, x, y, x_ids, y_ids in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if a > b:  # roots lie in the earlier tile: links of a group then name few of them
+                    x, y, x_ids, y_ids = y, x, y_ids, x_ids
                 ids = np.frombuffer(x_ids if a == b else x_ids + y_ids, np.int64)
                 for u, v in compare_tiles(matrix(x), None if a == b else matrix(y), radius, total):
                     yield {"u": ids[u], "v": ids[v]}
