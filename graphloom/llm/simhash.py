@@ -6,6 +6,10 @@ every other pair of tiles is compared in full with numpy's exclusive-or and bit
 fingerprints are one node. A pair of tiles reports a spanning forest of its links, which has the same
 components as all of them, so a group of thousands never becomes millions of rows.
 
+Where documents are to go (one_of_each), fingerprints of several parts only propose: within each group that
+a wide radius makes, the sets of shingles themselves are compared, and links are pairs whose Jaccard
+similarity is LEAST or more.
+
 Null and empty texts (and those of white space) have fingerprint zero and are linked like any other.
 Repeated rows and repeated ids stay separate rows; a null id gets the smallest id it reaches, null if
 there is none. Other columns of the input play no part. An empty table gives an empty result.
@@ -33,7 +37,14 @@ RUNS = 8
 #: Fingerprints of documents in which near-duplicates are to be found: 64-bit parts, and the bits that may
 #: differ in one part and in all. Two texts of similarity j (of their sets of shingles) differ in about
 #: acos(2 j / (1 + j)) / pi of all bits: 39 of 256 for 0.8, with a deviation of 6; unrelated ones in half.
-PARTS, PART_BITS, ALL_BITS = 4, 18, 45
+#: The bounds lie about four deviations above that: what they let in is compared in full.
+PARTS, PART_BITS, ALL_BITS = 4, 22, 64
+
+#: The least similarity of near-duplicates, as a fraction.
+LEAST = 4, 5
+
+#: Most nodes and shingles of a block of a group; groups of more are compared by pairs of blocks.
+BLOCK_NODES, BLOCK_SHINGLES = 4096, 4_000_000
 
 #: Rows (24 bytes) of documents that go that are sent to all executors; beyond it they are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -49,18 +60,22 @@ def spread(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int = 3, parts: int = 1) -> bytes:
-    """parts times 64 bits: each is the majority of that bit over the hashes of all shingles, repeats included."""
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's shingles in order, repeats included."""
     line = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())  # bytes.lower: A-Z only
     if not line:
-        return bytes(8 * parts)
+        return np.zeros(0, "<u8")
     starts = np.flatnonzero(np.frombuffer(line, np.uint8) == 32) + 1
     starts = np.concatenate([[0], starts, [len(line) + 1]])
     n = len(starts) - 1
     begin = starts[: max(1, n - shingle + 1)].tolist()
     end = (starts[min(shingle, n) :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], 42) for a, b in zip(begin, end, strict=True)], "<u8")
+    return np.array([digest(line[a:b], 42) for a, b in zip(begin, end, strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray, parts: int = 1) -> bytes:
+    """parts times 64 bits: each is the majority of that bit over all hashes."""
     total = np.zeros(64 * parts, np.int64)
     for k in range(parts):
         for at in range(0, len(hashes), 8192):
@@ -69,18 +84,31 @@ def fingerprint(text: str | None, shingle: int = 3, parts: int = 1) -> bytes:
     return np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
 
 
+def fingerprint(text: str | None, shingle: int = 3, parts: int = 1) -> bytes:
+    """The majority of each bit over the hashes of all shingles, repeats included."""
+    return majority(shingles(text, shingle), parts)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, parts: int = 1, key: F.Column | None = None) -> DataFrame:
     """doc_id, fp (the first 64 bits as a signed long), rest (the other parts' bytes), node (a number for
-    the whole fingerprint) and key, a long passed on: a row for each row of docs."""
+    what is one node), size (its shingles) and key, a long passed on: a row for each row of docs.
+
+    A fingerprint of one part counts repeated shingles and is its own node. One of several parts is that of
+    the set of shingles, and the set is the node.
+    """
 
     def run(batches: Iterator) -> Iterator[dict]:
         for b in batches:
-            all_ = [fingerprint(t, shingle, parts) for t in b.column(1).to_pylist()]
-            yield {"doc_id": b.column(0), "fp": np.frombuffer(b"".join(x[:8] for x in all_), "<i8"), "rest": [x[8:] for x in all_], "key": b.column(2)}
+            sets = [shingles(t, shingle) for t in b.column(1).to_pylist()]
+            if parts > 1:
+                sets = [np.unique(x) for x in sets]
+            all_ = [majority(x, parts) for x in sets]
+            fp = np.frombuffer(b"".join(x[:8] for x in all_), "<i8")
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], "<u8").view("<i8") if parts > 1 else fp
+            yield {"doc_id": b.column(0), "fp": fp, "rest": [x[8:] for x in all_], "node": node, "size": [len(x) for x in sets], "key": b.column(2)}
 
     key = F.lit(0).cast("long") if key is None else key
-    out = map_rows(docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"), key.alias("key")), run, "doc_id long,fp long,rest binary,key long")
-    return out.withColumn("node", F.xxhash64("fp", "rest") if parts > 1 else F.col("fp"))
+    return map_rows(docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"), key.alias("key")), run, "doc_id long,fp long,rest binary,node long,size long,key long")
 
 
 class Forest:
@@ -210,6 +238,74 @@ def grouped(fps: DataFrame, scratch: Scratch, radius: int, parts: int = 1, total
     return scratch.table(labels.select("node", F.coalesce("component", "node").alias("component")), "labelled")
 
 
+def alike(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Components of sets of hashes under links of similarity LEAST or more, as positions; those of two or more."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(n), sizes)
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mine = np.split(flat, np.cumsum(sizes)[:-1])
+    mark, left = np.zeros(len(known), bool), np.ones(n, bool)
+    for first in range(n):
+        if not left[first]:
+            continue
+        left[first], found, at = False, [first], 0
+        while at < len(found) and left.any():
+            i = found[at]
+            at += 1
+            mark[mine[i]] = True
+            both = np.bincount(owner[mark[flat]], minlength=n)
+            mark[mine[i]] = False
+            near = np.flatnonzero(left & (LEAST[1] * both >= LEAST[0] * (sizes + sizes[i] - both)))
+            if len(near):
+                found += near.tolist()
+                left[near] = False
+                stay = left[owner]
+                owner, flat = owner[stay], flat[stay]
+        if len(found) > 1:
+            yield np.array(found)
+
+
+def verified(docs: DataFrame, rows: DataFrame, scratch: Scratch, id_: F.Column, key: F.Column, text: F.Column, shingle: int) -> DataFrame:
+    """u, v: links that span the components of nodes whose sets of shingles are alike, within each component
+    of rows (component, node, size, doc_id, key). Each node's text is read from one of its rows in docs."""
+    nodes = rows.groupBy("component", "node").agg(F.first("size").alias("size"), F.min(F.struct("doc_id", "key")).alias("who"))
+    nodes = scratch.table(nodes, "members")
+    groups = nodes.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
+    nodes = nodes.join(groups.where("n > 1").select("component", blocks.alias("k")), "component")
+    nodes = scratch.table(nodes.select("component", "k", "node", F.col("who.doc_id").alias("known_id"), F.col("who.key").alias("known_key")), "proposed")
+    near = F.broadcast if nodes.count() <= BROADCAST_ROWS else (lambda df: df)
+    read = docs.select(id_.alias("id"), key.alias("key"), text.alias("text"))
+    read = read.join(near(nodes), F.col("id").eqNullSafe(F.col("known_id")) & (F.col("key") == F.col("known_key")))
+    # a node comes to every pair of blocks that has its own
+    mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    others = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("k") - 1), F.col("mine")))
+    read = read.withColumn("mine", mine).withColumn("other", F.explode(others))
+    read = read.select("component", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "node", "text")
+    read = read.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "node")
+
+    def compare(batches: Iterator) -> Iterator[dict]:
+        group, ids, sets = None, [], []
+
+        def done() -> Iterator[dict]:
+            for found in alike(sets) if len(sets) > 1 else ():
+                of = np.array(ids, np.int64)[found]
+                yield {"u": of[1:], "v": np.full(len(of) - 1, of[0])}
+
+        for batch in batches:
+            for component, a, b, node, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (component, a, b) != group:
+                    yield from done()
+                    group, ids, sets = (component, a, b), [], []
+                if not ids or node != ids[-1]:  # a row may repeat
+                    ids.append(node)
+                    sets.append(np.unique(shingles(text, shingle)))
+        yield from done()
+
+    return map_rows(read, compare, "u long,v long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fp (long), component_id: the smallest doc_id that links of at most `radius` bits reach."""
     scratch = Scratch(docs.sparkSession, "simhash")
@@ -224,15 +320,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs, with their columns as they are, one from each group of near-duplicates: that of the
     smallest id (null last, ties by a hash of the text, one row if it repeats).
 
-    Groups are made by links of fingerprints of 256 bits over five-word shingles, which stand for a
-    similarity of 0.8 or more: see ALL_BITS.
+    Groups are made by links between texts whose sets of five-word shingles have a similarity of LEAST or
+    more; fingerprints of 256 bits propose what to compare. With one part, the radius alone makes links.
     """
     scratch = Scratch(docs.sparkSession, "one-of-each")
     key = F.xxhash64(F.coalesce(column(docs, text_col).cast("string"), F.lit("")))
     id_ = column(docs, id_col).cast("long")
     fps = scratch.table(fingerprints(docs, id_col, text_col, shingle, parts, key), "fingerprints")
     labels = grouped(fps, scratch, radius, parts, total)
-    rows = fps.groupBy("node", "doc_id", "key").agg(F.count("*").alias("n")).join(labels, "node")
+    rows = fps.groupBy("node", "doc_id", "key").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    if parts > 1:
+        edges = verified(docs, rows.join(labels, "node"), scratch, id_, key, column(docs, text_col), shingle)
+        same = connected_components(scratch.table(edges, "verified"), scratch)
+        labels = labels.select("node").join(same.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    rows = rows.join(labels, "node")
     rows = scratch.table(rows.select("component", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key").alias("who"), "n"), "rows")
     first = rows.groupBy("component").agg(F.min("who").alias("first"))
     judged = rows.join(first, "component").select(F.col("who.doc_id").alias("known_id"), F.col("who.key").alias("known_key"), (F.col("who") != F.col("first")).alias("goes"), "n")

@@ -408,6 +408,32 @@ def test_near_copies_go_and_others_stay(spark):
     assert got == sorted(d for d, _ in rows if d % 10 in (0, 3))
 
 
+@pytest.mark.parametrize("blocks", [4096, 3])
+def test_near_copies_are_verified(spark, monkeypatch, blocks):
+    """Texts on either side of 0.8, where fingerprints alone err, and links that only chains make."""
+    monkeypatch.setattr(simhash, "BLOCK_NODES", blocks)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for size in (30, 64, 104, 304) * 12:
+        base = [word() for _ in range(size)]
+        n = size - 4
+        for cut in (round(n * 0.1), round(n * 0.12), round(n * 0.16), round(n * 0.2)):
+            texts.append(" ".join(base[cut:] + [word() for _ in range(cut)]))
+        texts.append(" ".join(base))
+    # much alike with repeats, little as sets
+    texts += ["spam " * 900 + " ".join(word() for _ in range(40)) for _ in range(3)] + ["", None, " "]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").split() for t in texts)]
+    of = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                of = [min(of[i], of[j]) if x in (of[i], of[j]) else x for x in of]
+    assert len({x for x in of}) > 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == sorted(set(of))
+
+
 # ---- 9 licences
 
 
