@@ -10,7 +10,10 @@ with C its characters, LC those in links, NLC the others, T and LT its tags and
 counts of the whole body (a zero counts as one below a fraction's line). The node whose children's
 densities (those of running text, such as bold type, aside) have the largest sum is the heart of the article. The least density on its path to the body is
 the threshold: every part of the page that reaches it is searched for its own largest sum, and these
-subtrees, in page order, are the text. A page without any such sum gives the body's own text.
+subtrees, in page order, are the text. Densities of leaves and of containers differ, so the threshold only
+adds: all that is left of the article or main element around the heart belongs to it; without one, so do the
+heart's siblings below the lowest ancestor that reaches the threshold, but for those whose text is mostly
+links. A page without any such sum gives the body's own text.
 
 Character references are decoded; white space inside a block becomes one space; blocks are joined by two
 line feeds. Null, empty and text-free pages give the empty text. Repeated rows stay; null ids and urls are
@@ -159,6 +162,7 @@ class Page:
                 linked[p] += linked[i]
                 tags[p] += tags[i] + 1
                 links[p] += links[i] + (self.tag[i] == "a")
+        self.chars, self.linked = chars, linked
         ratio = linked[0] / max(1, chars[0])
         density, total = [0.0] * n, [0.0] * n
         for i in range(n - 1, -1, -1):
@@ -195,6 +199,18 @@ class Page:
             for i in range(body, n):
                 if not self.drop[i] and density[i] >= least > 0:
                     article[at[i]] = True
+            around = best
+            while around > 0 and self.tag[around] not in ("article", "main"):
+                around = self.parent[around]
+            if around > 0:
+                article[around] = True
+            elif best != body:
+                around = self.parent[best]
+                while around > body and density[around] < least:
+                    around = self.parent[around]
+                for i in range(around + 1, n):
+                    if self.parent[i] == around and 2 * self.linked[i] < self.chars[i]:
+                        article[i] = True
         for i in range(1, n):
             article[i] = not self.drop[i] and (article[i] or article[self.parent[i]])
         return article

@@ -236,6 +236,18 @@ def test_main_text(spark):
     assert got == {i: (t, len(t)) for i, (_, t) in enumerate(PAGES)} | {None: ("", 0)}
 
 
+def test_nested_article():
+    ten = "".join(f"<p>{str(k) * 200}</p>" for k in range(10))
+    whole = ["The title 1", *(str(k) * 200 for k in range(10)), "x" * 200]
+    assert htmltext.main_text(page(f"<article><h1>The title 1</h1><div>{ten}</div><p>{'x' * 200}</p></article>")) == "\n\n".join(whole)
+    short = "<section><h2>Second</h2><p>Short one.</p><p>Short two.</p></section>"
+    nav = "<nav><a href=x>Home</a></nav><aside>See also</aside>"
+    got = htmltext.main_text(page(f"{nav}<main><section>{ten}</section>{short}</main><footer>f</footer>"))
+    assert got == "\n\n".join([*whole[1:-1], "Second", "Short one.", "Short two."])
+    got = htmltext.main_text(page(f"<div><h1>The title 1</h1><div>{ten}</div><p>{'x' * 200}</p><div><a href=a>one</a> <a href=b>two</a></div></div>"))
+    assert got == "\n\n".join(whole)
+
+
 @needs_data
 def test_pages_table(spark):
     import html
