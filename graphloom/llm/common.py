@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.store import Store as Scratch
 
-__all__ = ["SPACE", "Scratch", "byte_words", "column", "map_rows", "small_batches", "table", "words"]
+__all__ = ["SPACE", "Scratch", "byte_words", "column", "map_rows", "rows", "small_batches", "table", "words"]
 
 #: One character of white space; words are what lies between.
 SPACE = r"[\x20\x09-\x0D]"
@@ -56,6 +56,12 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def rows(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[tuple]:
+    """Rows of some columns, by their numbers, one after another."""
+    for b in batches:
+        yield from zip(*(b.column(i).to_pylist() for i in columns), strict=True)
+
+
 def byte_words(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8; bytes.split parts at the same six characters as SPACE."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

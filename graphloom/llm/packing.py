@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, map_rows
+from .common import Scratch, column, map_rows, rows
 from .tokens import encoder, vocabulary
 
 
@@ -49,16 +49,17 @@ def pieces(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator) -> Iterator[dict]:
-        tok = encoder(vocab)
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for d, raw in zip(ids, tok.encode(texts), strict=True):
-                raw += end
-                for piece, (start, n) in enumerate(cut_points(len(raw) // 4, capacity)):
-                    for name, v in zip(out, (d, piece, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)])), strict=True):
-                        out[name].append(v)
-            yield out
+        names = ("doc_id", "piece", "start", "length", "ids_crc32")
+        out: dict[str, list] = {k: [] for k in names}
+        for d, raw in encoder(vocab).stream(rows(batches, 0, 1)):
+            raw += end
+            for piece, (start, n) in enumerate(cut_points(len(raw) // 4, capacity)):
+                for name, v in zip(names, (d, piece, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)])), strict=True):
+                    out[name].append(v)
+            if len(out["piece"]) >= 4096:
+                yield out
+                out = {k: [] for k in names}
+        yield out
 
     docs = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     return map_rows(docs, run, "doc_id long,piece int,start long,length long,ids_crc32 long")

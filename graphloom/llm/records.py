@@ -7,7 +7,7 @@ that hold checksums stays sound. The payload is one byte (bytes of an id, plus 1
 doc_id (signed 64 bits), then the ids, in 16 bits where the vocabulary allows. The index of a file is its
 records' offsets and lengths, as pairs of signed 64-bit integers, for reads in any order.
 
-Documents are sorted by doc_id (null first, ties by text) into ranges; a task writes one file and its
+Documents are sorted by doc_id (null first, ties by text, so that many of one id fill several ranges) into ranges; a task writes one file and its
 index under a name of its own, and reports them in the manifest only when both are closed. A task that
 runs again writes a new file, and what the manifest doesn't list doesn't count.
 
@@ -28,11 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import Scratch, column, map_rows
+from .common import Scratch, column, map_rows, rows
 from .tokens import encoder, vocabulary
 
 MASK_DELTA = 0xA282EAD8
 
+#: Records written in one call.
+TOGETHER = 256
+
 
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
@@ -72,27 +75,28 @@ def write_records(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col
     """Writes the files to folder, a URI that all executors reach; the manifest: part, file, n_docs, n_tokens."""
     vocab = vocab or vocabulary()
     docs = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
-    docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    docs = docs.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator) -> Iterator[dict]:
         from pyspark import TaskContext
 
         part, tok, name, at, index, n = TaskContext.get().partitionId(), encoder(vocab), uuid.uuid4().hex, 0, [], 0
-        width = 2 if tok.size <= 1 << 16 else 4
-        sink = None
-        for b in batches:
+        width, end = 2 if tok.size <= 1 << 16 else 4, struct.pack("<I", end_id)
+        sink, held = None, []
+        for d, raw in tok.stream(rows(batches, 0, 1)):
             if sink is None:
                 store, path = opened(folder)
                 store.create_dir(path, recursive=True)
                 sink = store.open_output_stream(f"{path}/{name}.rec")
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for d, raw in zip(ids, tok.encode(texts), strict=True):
-                tokens = np.frombuffer(raw + struct.pack("<I", end_id), "<u4")
-                record = frame(pack(d, tokens, width))
-                sink.write(record)
-                index += (at, len(record))
-                at, n = at + len(record), n + len(tokens)
+            tokens = np.frombuffer(raw + end, "<u4")
+            held.append(frame(pack(d, tokens, width)))
+            index += (at, len(held[-1]))
+            at, n = at + len(held[-1]), n + len(tokens)
+            if len(held) == TOGETHER:
+                sink.write(b"".join(held))
+                held = []
         if sink is not None:
+            sink.write(b"".join(held))
             sink.close()
             with store.open_output_stream(f"{path}/{name}.idx") as f:
                 f.write(np.array(index, "<i8").tobytes())

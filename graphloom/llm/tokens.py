@@ -3,8 +3,9 @@
 A text is cut before each space that a letter, digit or ASCII sign follows. The tokenizer's own rule never joins what
 stands on the two sides of such a place, so the ids of the pieces, one after another, are the ids of the
 text. Nor does it join letters with the punctuation behind them, so a piece of letters and a tail is a word
-and its tail. Pieces and words recur: both stay in bounded caches, and the library encodes what is new, many
-words in one call.
+and its tail; nor a line feed with what stands on either side. Many texts are encoded together: the library gets each
+distinct word of theirs once, many in one call. A text that holds the string of an added token, such as <|endoftext|>, is given to the library
+whole: there the token's own id stands for it.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ import functools
 import gc
 import json
 import re
-from collections.abc import Iterator
-from itertools import compress
+from collections.abc import Iterable, Iterator
+from itertools import chain, compress
 from operator import add, not_
 
 import numpy as np
@@ -23,8 +24,10 @@ import numpy as np
 CUT = re.compile(r" (?=[!-~]|[^\W_])")
 #: A space that none follows.
 ODD = re.compile(r" (?![!-~]|[^\W_])")
-#: Punctuation that may follow a word's letters.
-TAIL = ".,;:!?"
+#: Punctuation that may follow a word's letters: all of ASCII but the apostrophe, which may begin a contraction.
+TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: A line feed between characters that aren't white space: a word of its own, which joins neither side.
+LINE = re.compile(r"(?<=\S)\n(?=\S)")
 #: Characters below it are letters by any version of Unicode if they are by this one.
 OLD_LETTERS = "ɐ"
 
@@ -42,35 +45,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
-class Cache:
-    """Two generations of a dict: when the new one is full it becomes the old one."""
-
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
-
-    def turn(self) -> None:
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """Of the keys, those in neither generation; the others are in the new one afterwards."""
-        fresh = keys - self.new.keys()
-        again = fresh & self.old.keys()
-        self.new.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        return list(fresh - again)
-
-
 class Encoder:
-    #: Pieces and words held, for each generation, and the longest held.
-    HELD, LONGEST = 220_000, 48
-    #: Characters of the texts that are encoded together, about.
-    TOGETHER = 3_000_000
+    #: Characters of the texts that are encoded together, about: they bound what a worker holds.
+    TOGETHER = 12_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.marks = [t["content"] for t in json.load(open(path))["added_tokens"]]
         vocab = self.tokenizer.get_vocab()
         self.size = max(vocab.values()) + 1
         letters = byte_letters()
@@ -79,9 +62,15 @@ class Encoder:
         self.spaced = np.zeros(self.size, bool)
         self.spaced[[i for w, i in vocab.items() if w.startswith(self.space)]] = True
         # the same model for words that are cut and written in the vocabulary's letters already
-        self.model = Tokenizer.from_str(json.dumps(json.load(open(path)) | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+        bare = json.dumps(json.load(open(path)) | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []})
+        self.model, self.lines = Tokenizer.from_str(bare), Tokenizer.from_str(bare)
         self.model.pre_tokenizer = pre_tokenizers.Split(self.space, "merged_with_next")
-        self.pieces, self.words, self.tails = Cache(self.HELD), Cache(self.HELD), Cache(10_000)
+        self.lines.pre_tokenizer = pre_tokenizers.Split(letters[10], "isolated")
+        self.feed = self.ids("\n")
+
+    def special(self, text: str) -> bool:
+        """Whether a text holds the string of an added token: the library takes it out before it cuts words."""
+        return any(m in text for m in self.marks)
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -101,46 +90,82 @@ class Encoder:
             out.update(zip(some, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
         return out
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers; none for null."""
-        at = n = 0
-        for k, t in enumerate(texts):
-            n += len(t or "")
-            if n >= self.TOGETHER or k + 1 == len(texts):
-                on = gc.isenabled()
-                gc.disable()  # it makes many strings and no cycles
-                try:
-                    out = self.together(texts[at : k + 1])
-                finally:
-                    if on:
-                        gc.enable()
-                yield from out
-                at, n = k + 1, 0
+    def after(self, parts: list[str], tails: dict[str, bytes]) -> dict[str, bytes]:
+        """The ids of strings that neither begin nor end with white space, with a line feed put before each."""
+        bare = [p.rstrip(TAIL) for p in parts]
+        plain = [w.isalpha() and max(w) < OLD_LETTERS for w in bare]
+        out = {p: self.ids("\n" + p) for p in compress(parts, map(not_, plain))}
+        some, bare = list(compress(parts, plain)), list(compress(bare, plain))
+        if some:
+            text = "\n" + "\n".join(bare)
+            ids = np.array(self.lines.encode_batch_fast([text.encode().decode("latin-1").translate(self.letters)], add_special_tokens=False)[0].ids, "<u4")
+            raw, starts = ids.tobytes(), (4 * np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0])).tolist()
+            for p, w, a, b in zip(some, bare, starts, [*starts[1:], len(raw)], strict=True):
+                out[p] = raw[a:b] + tails[p[len(w) :]]
+        return out
 
-    def together(self, texts: list[str | None]) -> list[bytes]:
-        cut = [[] if not t else CUT.split(t) if ODD.search(t) else t.split(" ") for t in texts]
-        for c in (self.pieces, self.words, self.tails):
-            c.turn()
-        pieces, words, tails = self.pieces.new, self.words.new, self.tails.new
-        missing = self.pieces.missing(set().union(*(p[1:] for p in cut)))
-        bare = [p.rstrip(TAIL) for p in missing]
+    def learn(self, asked: set[str]) -> dict[str, bytes]:
+        """The ids of each piece, with a space put before it."""
+        lines = {p: parts for p in asked if "\n" in p and len(parts := LINE.split(p)) > 1}
+        more = list({x for parts in lines.values() for x in parts[1:]})
+        pieces = list(asked - lines.keys() | {parts[0] for parts in lines.values()})
+        bare = [p.rstrip(TAIL) for p in pieces]
         simple = list(map(str.isalpha, bare))
         if max("".join(bare), default="") >= OLD_LETTERS:
             simple = [s and max(w) < OLD_LETTERS for s, w in zip(simple, bare, strict=True)]
-        whole, bare, other = list(compress(missing, simple)), list(compress(bare, simple)), list(compress(missing, map(not_, simple)))
-        pieces.update(self.each([p for p in other if " " not in p], False))
-        pieces.update((p, self.ids(" " + p)) for p in other if " " in p)
-        words.update(self.each(self.words.missing(set(bare)), True))
+        whole, bare, other = list(compress(pieces, simple)), list(compress(bare, simple)), list(compress(pieces, map(not_, simple)))
         behind = [p[len(w) :] for p, w in zip(whole, bare, strict=True)]
-        tails.update((t, self.ids(t)) for t in self.tails.missing(set(behind)))
-        pieces.update(zip(whole, map(add, map(words.__getitem__, bare), map(tails.__getitem__, behind)), strict=True))
-        heads = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([p[0] if p else "" for p in cut], add_special_tokens=False)]
-        out = [h + b"".join(map(pieces.__getitem__, p[1:])) for h, p in zip(heads, cut, strict=True)]
-        for cache, keys in ((pieces, missing), (words, bare)):
-            for k in [k for k in keys if len(k) > self.LONGEST]:
-                cache.pop(k, None)
+        tails = {t: self.ids(t) for t in {*behind, *(x[len(x.rstrip(TAIL)) :] for x in more)}}
+        words = self.each(list(set(bare)), True)
+        out = dict(zip(whole, map(add, map(words.__getitem__, bare), map(tails.__getitem__, behind)), strict=True))
+        out.update(self.each([p for p in other if " " not in p], False))
+        out.update((p, self.ids(" " + p)) for p in other if " " in p)
+        if lines:
+            after = self.after(more, tails)
+            out.update((p, b"".join([out[x], *map(after.__getitem__, y)])) for p, (x, *y) in lines.items())
+        return out
+
+    def together(self, texts: list[str | None]) -> list[bytes]:
+        whole = {k: self.ids(t) for k, t in enumerate(texts) if t and self.special(t)}
+        cut = [[""] if not t or k in whole else CUT.split(t) if ODD.search(t) else t.split(" ") for k, t in enumerate(texts)]
+        heads = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([p.pop(0) for p in cut], add_special_tokens=False)]
+        sizes, flat = list(map(len, cut)), list(chain.from_iterable(cut))
+        del cut
+        found = list(map(self.learn(set(flat)).__getitem__, flat))
+        del flat
+        out, n = [], 0
+        for k, (head, size) in enumerate(zip(heads, sizes, strict=True)):
+            out.append(whole[k] if k in whole else head + b"".join(found[n : n + size]))
+            n += size
         return out
 
+    def stream(self, rows: Iterable[tuple[object, str | None]]) -> Iterator[tuple[object, bytes]]:
+        """For (key, text), the key and the text's ids as little-endian unsigned 32-bit integers; none for null."""
+        keys, texts, n = [], [], 0
+
+        def done() -> list[tuple[object, bytes]]:
+            on = gc.isenabled()
+            gc.disable()  # it makes many strings and no cycles
+            try:
+                return list(zip(keys, self.together(texts), strict=True))
+            finally:
+                if on:
+                    gc.enable()
+
+        for key, text in rows:
+            keys.append(key)
+            texts.append(text)
+            n += len(text or "")
+            if n >= self.TOGETHER:
+                yield from done()
+                keys, texts, n = [], [], 0
+        if keys:
+            yield from done()
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        for _, ids in self.stream((None, t) for t in texts):
+            yield ids
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:
