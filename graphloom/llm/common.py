@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from graphloom.store import Store as Scratch
 
-__all__ = ["SPACE", "Scratch", "byte_words", "column", "map_rows", "rows", "small_batches", "table", "words"]
+__all__ = ["SPACE", "Scratch", "byte_words", "column", "join_counted", "map_rows", "rows", "small_batches", "table", "words"]
 
 #: One character of white space; words are what lies between.
 SPACE = r"[\x20\x09-\x0D]"
 
+#: Keys that are joined apart hold more than one in this many rows.
+HEAVY = 1000
+
 #: Rows of an Arrow batch: texts may hold 100,000 characters and more.
 BATCH_ROWS = 1000
 
@@ -56,6 +59,17 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def join_counted(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join of a table with a side that has a row for each key and n, how often df has it at most.
+
+    Keys of more than one in HEAVY of all rows are fewer than HEAVY: they go to all executors, and their rows
+    stay where they are. The others are left to an ordinary join, in which no key is large. Both are read twice.
+    """
+    most = max(1, df.count() // HEAVY)
+    heavy, light = side.where(F.col("n") > most), side.where(F.col("n") <= most)
+    return df.join(F.broadcast(heavy), keys).unionByName(df.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)).drop("n")
+
+
 def rows(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[tuple]:
     """Rows of some columns, by their numbers, one after another."""
     for b in batches:

@@ -1,17 +1,20 @@
 """Repeated passages: words covered by a window of words that starts in a document with a smaller id.
 
 1. Phrases. A phrase is half a window long (25 words of 50). Of the phrases inside a window the one with
-   the least hash is its anchor, so equal windows have equal anchors. Anchors that two documents share
-   are the recurring phrases; about one word in thirteen starts an anchor.
-2. Automata. Documents with recurring phrases are dealt out by id; each batch of them is a shard whose
-   phrases are compiled, as sequences of word numbers, into one Aho-Corasick automaton. The documents of
-   the shard stream through it, which locates every occurrence of every phrase, word for word.
+   the least hash is its anchor, so equal windows have equal anchors. Phrases that are anchors in two
+   documents recur: they are confirmed, and their words are taken from the first document that has them.
+2. Automata. The confirmed phrases are sharded by that first document, and each shard is compiled, as
+   sequences of word numbers, into an Aho-Corasick automaton. Every document that holds a confirmed phrase
+   streams whole through the shards it needs (no other shard has an anchor of its own), which locates every
+   occurrence, word for word; what isn't located isn't looked at further. A passage's phrases lie in one
+   shard, so a document needs about as many shards as it shares passages with different documents, whatever
+   the corpus. A shard that many documents need is compiled in several tasks, which share the documents.
 3. Runs. The windows that share one occurrence of an anchor form a run. A run that occurs whole in a
    document with a smaller id is covered. Of the other runs the windows are compared one by one; this is
    exact, since in the first document that holds a window its run occurs in no earlier one.
 
-Windows are compared by 96 bits of hash. Nothing is gathered by key beyond what one document holds:
-minima are aggregated partially, and joins on a frequent hash are left to AQE to split.
+Runs and windows are compared by two hashes of 64 bits. Nothing is gathered by key beyond what one document
+holds, and no join gives a frequent key to one task.
 
 Null, empty and short texts keep all words. A null id neither removes nor loses words. Rows that repeat
 an id are judged one by one, each against smaller ids only. Other columns of the input play no part. An
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_words, column, map_rows
+from .common import Scratch, byte_words, column, join_counted, map_rows, rows
 
 #: Odd multipliers of the rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -37,8 +41,8 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Ids sent to all executors for a semi-join ahead of the shuffle, at most; beyond it, all texts shuffle.
 SEMI_JOIN_IDS = 2_000_000
 
-#: Words of the documents that share an automaton, about.
-SHARD_WORDS = 300_000
+#: Phrases of an automaton, about (a first document's phrases stay together), and documents of a task that has one.
+SHARD_PHRASES, SHARD_DOCS = 20_000, 8_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -72,8 +76,8 @@ def anchors(phrases: np.ndarray, span: int) -> np.ndarray:
 class Text:
     """A document's words and the hashes of its phrases and runs."""
 
-    def __init__(self, text: str | None, window: int):
-        self.words, self.window, self.phrase = byte_words(text), window, (window + 1) // 2
+    def __init__(self, text: str | bytes | None, window: int):
+        self.words, self.window, self.phrase = text.split() if isinstance(text, bytes) else byte_words(text), window, (window + 1) // 2
         self.any = len(self.words) >= window
         if self.any:
             self.h = word_hashes(self.words)
@@ -83,9 +87,8 @@ class Text:
             self.last = np.concatenate([self.first[1:], [len(at)]]) - 1
             self.at = at[self.first]
 
-    def runs(self) -> np.ndarray:
+    def runs(self, base: int) -> np.ndarray:
         """A hash of the words of each run, from their first to their last."""
-        base = BASES[1]
         inverse = np.cumprod(np.full(len(self.h), pow(base, -1, 1 << 64), np.uint64))
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.h * inverse)])
         power = np.cumprod(np.full(len(self.h), base, np.uint64))
@@ -117,52 +120,83 @@ def first_phrases(docs: DataFrame, window: int) -> DataFrame:
     return map_rows(docs, run, "phrase long,doc_id long")
 
 
-def locate(shard: list[tuple[Text, set[int]]]) -> list[np.ndarray]:
-    """For each document of a shard, the positions where a recurring phrase of the shard occurs."""
-    numbers: dict[bytes, int] = {}
-    n = shard[0][0].phrase
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    coded = []
-    for x, _ in shard:
-        coded.append(tuple(numbers.setdefault(w, len(numbers)) for w in x.words))
-    for (x, recurring), line in zip(shard, coded, strict=True):
-        for p in x.at[np.isin(x.phrases[x.at], np.fromiter(recurring, np.uint64, len(recurring)))].tolist():
-            automaton.add_word(line[p : p + n], 1)
-    if not len(automaton):
-        return [np.zeros(0, np.int64) for _ in shard]
-    automaton.make_automaton()
-    return [np.fromiter((end - n + 1 for end, _ in automaton.iter(line)), np.int64) for line in coded]
-
-
-def recurring_runs(work: DataFrame, window: int) -> DataFrame:
-    """run, length, doc_id, key, lo, hi: the runs of windows that hold a recurring phrase."""
-
-    def finish(held: list) -> dict:
-        out: dict[str, list] = {k: [] for k in ("run", "length", "doc_id", "key", "lo", "hi")}
-        for (d, k, x, _), found in zip(held, locate([(x, r) for _, _, x, r in held]), strict=True):
-            hit = np.isin(x.at, found)
-            lo, hi = x.first[hit], x.last[hit]
-            for name, v in (("run", x.runs()[hit].view(np.int64)), ("length", hi - lo), ("doc_id", np.full(len(lo), d)), ("key", np.full(len(lo), k)), ("lo", lo), ("hi", hi)):
-                out[name].append(v)
-        return {k: np.concatenate(v).astype(np.int64) for k, v in out.items()}
+def confirmed(work: DataFrame, window: int) -> DataFrame:
+    """phrase, words: the text of the phrases that column own lists, from their first document."""
 
     def run(batches: Iterator) -> Iterator[dict]:
-        held, n = [], 0
-        for b in batches:
-            for d, k, t, p in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if (x := Text(t, window)).any:
-                    held.append((d, k, x, {v & 0xFFFFFFFFFFFFFFFF for v in p}))
-                    n += len(x.words)
-                if n >= SHARD_WORDS:
-                    yield finish(held)
-                    held, n = [], 0
-        if held:
-            yield finish(held)
+        for text, own in rows(batches, 0, 1):
+            x = Text(text, window)
+            if x.any:
+                hashes, at = np.unique(x.phrases[x.at], return_index=True)
+                which = np.isin(hashes.view(np.int64), own)
+                yield {"phrase": hashes[which].view(np.int64), "words": [b" ".join(x.words[p : p + x.phrase]) for p in x.at[at[which]].tolist()]}
+
+    return map_rows(work.where("size(own) > 0").select("text", "own"), run, "phrase long,words binary")
+
+
+class Shard:
+    """An automaton over phrases, as sequences of numbers of their words."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.ready = False
+
+    def add(self, phrase: bytes) -> None:
+        line = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in phrase.split())
+        self.automaton.add_word(line, len(line))
+
+    def locate(self, words: list[bytes]) -> np.ndarray:
+        """Where a phrase of the shard begins."""
+        if not self.ready:
+            self.automaton.make_automaton()
+            self.ready = True
+        if not len(self.automaton):
+            return np.zeros(0, np.int64)
+        line = tuple(map(self.numbers.get, words, repeat(0)))
+        return np.fromiter((end - n + 1 for end, n in self.automaton.iter(line)), np.int64)
+
+
+RUN = ("run", "run2", "length")
+
+
+def recurring_runs(work: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
+    """run, run2, length, doc_id, key, lo, hi: the runs of windows around the phrases that the shards locate.
+
+    work: doc_id, key, text and visits (shard, task); phrases: shard, task, words.
+    """
+    docs = work.select(F.explode("visits").alias("v"), "doc_id", "key", F.col("text").cast("binary").alias("text"))
+    docs = docs.select("v.shard", "v.task", F.lit(1).alias("kind"), "doc_id", "key", "text")
+    none = F.lit(None).cast("long")
+    both = docs.unionByName(phrases.select("shard", "task", F.lit(0).alias("kind"), none.alias("doc_id"), none.alias("key"), F.col("words").alias("text")))
+    both = both.repartition("shard", "task").sortWithinPartitions("shard", "task", "kind")
+    names = (*RUN, "doc_id", "key", "lo", "hi")
+
+    def run(batches: Iterator) -> Iterator[dict]:
+        at, shard, out = None, Shard(), {k: [] for k in names}
+        for s, task, kind, d, k, text in rows(batches, *range(6)):
+            if (s, task) != at:
+                at, shard = (s, task), Shard()
+            if not kind:
+                shard.add(text)
+                continue
+            x = Text(text, window)
+            hit = np.isin(x.at, shard.locate(x.words)) if x.any else np.zeros(0, bool)
+            if hit.any():
+                lo, hi = x.first[hit], x.last[hit]
+                one, two = (x.runs(base)[hit].view(np.int64) for base in BASES)
+                for name, v in zip(names, (one, two, hi - lo, np.full(len(lo), d), np.full(len(lo), k), lo, hi), strict=True):
+                    out[name].append(v)
+                if len(out["lo"]) >= 256:
+                    yield {k: np.concatenate(v).astype(np.int64) for k, v in out.items()}
+                    out = {k: [] for k in names}
+        if out["lo"]:
+            yield {k: np.concatenate(v).astype(np.int64) for k, v in out.items()}
 
-    return map_rows(work.select("doc_id", "key", "text", "phrases"), run, "run long,length long,doc_id long,key long,lo long,hi long")
+    return map_rows(both, run, ",".join(f"{n} long" for n in names))
 
 
-def windows_of(rows: DataFrame, window: int) -> DataFrame:
+def windows_of(open_: DataFrame, window: int) -> DataFrame:
     """h1, h2, doc_id, key, at: each window of the runs that column runs lists."""
 
     def run(batches: Iterator) -> Iterator[dict]:
@@ -172,11 +206,11 @@ def windows_of(rows: DataFrame, window: int) -> DataFrame:
                 h = word_hashes(byte_words(t))
                 at = np.unique(np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in runs]))
                 one, two = rolling(h, window, BASES[0])[at], rolling(h, window, BASES[1])[at]
-                for name, v in (("h1", one.view(np.int64)), ("h2", (two >> np.uint64(33)).astype(np.int64)), ("doc_id", np.full(len(at), d)), ("key", np.full(len(at), k)), ("at", at)):
+                for name, v in (("h1", one.view(np.int64)), ("h2", two.view(np.int64)), ("doc_id", np.full(len(at), d)), ("key", np.full(len(at), k)), ("at", at)):
                     out[name].append(v)
             yield {k: np.concatenate(v) for k, v in out.items()}
 
-    return map_rows(rows.select("doc_id", "key", "text", "runs"), run, "h1 long,h2 int,doc_id long,key long,at int")
+    return map_rows(open_.select("doc_id", "key", "text", "runs"), run, "h1 long,h2 long,doc_id long,key long,at int")
 
 
 def kept(docs: DataFrame, texts: bool = False) -> DataFrame:
@@ -208,23 +242,36 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
 
     phrases = scratch.table(first_phrases(docs, window), "phrases")
-    shared = phrases.groupBy("phrase").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("phrase")
-    of_doc = scratch.table(phrases.join(shared, "phrase").groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases")), "of-doc")
+    shared = phrases.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    shared = scratch.table(shared.where("first < last").select("phrase", "first", "n"), "shared")
+    shards = max(1, -(-shared.count() // SHARD_PHRASES))
+    shard = F.pmod(F.xxhash64("first"), F.lit(shards)).alias("shard")
+    # which shards a document needs, and which of its phrases it has first
+    held = join_counted(phrases, shared, ["phrase"]).select("doc_id", "phrase", shard, (F.col("doc_id") == F.col("first")).alias("is_own"))
+    visits = scratch.table(held.groupBy("doc_id", "shard").agg(F.collect_list(F.when(F.col("is_own"), F.col("phrase"))).alias("own")), "visits")
     scratch.drop(phrases)
+    tasks = scratch.table(visits.groupBy("shard").agg(F.count("*").alias("n"), F.ceil(F.count("*") / SHARD_DOCS).cast("int").alias("tasks")), "tasks")
+    visits = join_counted(visits, tasks, ["shard"])
+    visit = F.struct("shard", F.pmod(F.xxhash64("doc_id"), F.col("tasks")).cast("int").alias("task"))
+    of_doc = scratch.table(visits.groupBy("doc_id").agg(F.collect_list(visit).alias("visits"), F.flatten(F.collect_list("own")).alias("own")), "of-doc")
     some = docs.where("doc_id is not null")
     if of_doc.count() <= SEMI_JOIN_IDS:
         some = some.join(F.broadcast(of_doc.select("doc_id")), "doc_id", "left_semi")
     work = scratch.table(some.join(of_doc, "doc_id").withColumn("key", F.xxhash64("text", "doc_id")).dropDuplicates(["doc_id", "key"]), "work")
 
-    runs = scratch.table(recurring_runs(work, window), "runs")
-    first = runs.groupBy("run", "length").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("until"))
-    judged = scratch.table(runs.join(first, ["run", "length"]).select("doc_id", "key", "lo", "hi", (F.col("first") < F.col("doc_id")).alias("covered")), "judged")
+    texts_ = confirmed(work, window).join(shared, "phrase").select(shard, "words")
+    texts_ = texts_.join(tasks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "words")
+    runs = scratch.table(recurring_runs(work, texts_, window), "runs")
+    first = scratch.table(runs.groupBy(*RUN).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "first-runs")
+    judged = scratch.table(join_counted(runs, first, list(RUN)).select("doc_id", "key", "lo", "hi", (F.col("first") < F.col("doc_id")).alias("covered")), "judged")
+    scratch.drop(runs, first)
 
     span = F.struct("lo", "hi")
     open_runs = judged.where("not covered").groupBy("doc_id", "key").agg(F.collect_list(span).alias("runs"))
     wins = scratch.table(windows_of(work.join(open_runs, ["doc_id", "key"]), window), "windows")
-    first = wins.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("until")).where("first < until")
-    late = wins.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where("first < doc_id").select("doc_id", "key", F.col("at").cast("long").alias("lo"), (F.col("at") + window).cast("long").alias("hi"))
+    first = wins.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("until"), F.count("*").alias("n")).where("first < until")
+    first = scratch.table(first.select("h1", "h2", "first", "n"), "first-windows")
+    late = join_counted(wins, first, ["h1", "h2"]).where("first < doc_id").select("doc_id", "key", F.col("at").cast("long").alias("lo"), (F.col("at") + window).cast("long").alias("hi"))
     whole = judged.where("covered").select("doc_id", "key", "lo", (F.col("hi") + window).alias("hi"))
     cuts = whole.unionByName(late).groupBy("doc_id", "key").agg(F.collect_list(span).alias("spans"))
     edited = scratch.table(kept(work.join(cuts, ["doc_id", "key"]).select("doc_id", "text", "spans"), texts), "edited")

@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphloom.llm import htmltext, licences, mih, mixing, packing, passages, quality, queries, records, secrets, simhash, tokens
+from graphloom.llm import common, htmltext, licences, mih, mixing, packing, passages, quality, queries, records, secrets, simhash, tokens
 from graphloom.llm.common import Scratch
 
 DATA = Path("/root/testdata/sf0.001")
@@ -347,15 +347,41 @@ def brute_passages(rows, n=50):
     return sorted(map(str, out))
 
 
-def test_passages(spark, odd, empty):
+def test_passages(odd, empty):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     assert sorted(map(str, map(tuple, passages.repeated_passages(odd).collect()))) == brute_passages(rows)
     assert passages.repeated_passages(empty).collect() == []
-    rng = random.Random(3)
-    for window in (4, 5):
-        rows = [(i % 37, " ".join(rng.choices("abc", k=rng.randint(0, 40)))) for i in range(60)]
-        df = spark.createDataFrame(rows, "doc_id long, text string")
-        assert sorted(map(str, map(tuple, passages.repeated_passages(df, window=window).collect()))) == brute_passages(rows, window)
+
+
+@pytest.mark.parametrize("window", [4, 5])
+@pytest.mark.parametrize("limits", [{}, {"SHARD_PHRASES": 2, "SHARD_DOCS": 3, "SEMI_JOIN_IDS": 0, "HEAVY": 4}], ids=["large", "small"])
+def test_passages_by_chance(spark, monkeypatch, window, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(common if name == "HEAVY" else passages, name, value)
+    rng = random.Random(window)
+    rows = [(i % 37, " ".join(rng.choices("abc", k=rng.randint(0, 40)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, map(tuple, passages.repeated_passages(df, window=window).collect()))) == brute_passages(rows, window)
+
+
+def test_passages_come_from_the_automata(spark, monkeypatch):
+    """Phrases that the automata don't hold remove nothing."""
+    rng = random.Random(5)
+    passage = " ".join(rng.choices("abcdefgh", k=70))
+    rows = [(i, " ".join([*rng.choices("ijklmnop", k=30), f"q{i}", passage])) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(r["n_removed"] for r in passages.repeated_passages(df).collect()) == 5 * 70
+    confirmed = passages.confirmed
+    monkeypatch.setattr(passages, "confirmed", lambda *a: confirmed(*a).withColumn("words", F.lit(b"no such phrase")))
+    assert sum(r["n_removed"] for r in passages.repeated_passages(df).collect()) == 0
+
+
+def test_shard_locates_words_not_hashes():
+    shard = passages.Shard()
+    for phrase in (b"a b a", b"b a b"):
+        shard.add(phrase)
+    assert sorted(shard.locate(b"a b a b x a b a".split()).tolist()) == [0, 1, 5]
+    assert passages.Shard().locate([b"a"]).tolist() == []
 
 
 # ---- 8 near-duplicates
