@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from graphloom.llm import common, htmltext, licences, mih, mixing, packing, passages, quality, queries, records, secrets, simhash, tokens
 from graphloom.llm.common import Scratch
 
+from . import oracle
+
 DATA = Path("/root/testdata/sf0.001")
 needs_data = pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
 
@@ -500,9 +502,9 @@ def test_licences(spark):
 # ---- 10 packing
 
 
-def check_plan(counts, capacity):
+def check_plan(counts, capacity, plan=None):
     seqs, seen = defaultdict(list), Counter()
-    for n, a, b, s, per, offset in packing.plan(dict(counts), capacity).tolist():
+    for n, a, b, s, per, offset in oracle.plan(dict(counts), capacity).tolist() if plan is None else plan:
         seen[n] += b - a
         for j in range(b - a):
             seqs[s + j // per].append((offset + j % per * n, n))
@@ -533,6 +535,46 @@ def test_plan_is_tight():
     assert check_plan(counts, 2048) <= -(-total // 2048) * 1.001 + 1
 
 
+def placed(spark, counts, capacity):
+    waits = spark.createDataFrame(list(counts.items()), "size long, many long").where("many > 0")
+    got = packing.places(waits, capacity, Scratch(spark, "places")).collect()
+    return [(r["size"], r["first"], r["first"] + r["many"], r["seq"], r["per"], r["offset"]) for r in got]
+
+
+@pytest.mark.parametrize("case", range(4))
+def test_sweeps(spark, case):
+    """Every rank has one place, no sequence is too full, and there are hardly more than by single sweeps."""
+    rng = random.Random(case)
+    capacity = [1, 7, 40, 2048][case]
+    counts = Counter({rng.randint(1, capacity): rng.randint(1, 60) for _ in range(12)})
+    assert check_plan(counts, capacity, placed(spark, counts, capacity)) <= 1.02 * check_plan(counts, capacity) + 2
+
+
+def test_sweeps_are_tight(spark):
+    rng = np.random.default_rng(0)
+    counts = Counter(np.clip(rng.lognormal(6, 1, 20000), 2, 2048).astype(int).tolist())
+    total = sum(k * v for k, v in counts.items())
+    assert check_plan(counts, 2048, placed(spark, counts, 2048)) <= -(-total // 2048) * 1.001 + 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 70).flatmap(lambda c: st.tuples(st.just(c), *[st.dictionaries(st.integers(1, c), st.integers(1, 9), max_size=9)] * 2)))
+def test_one_sweep(case):
+    """What waits, has a place or is left of a gap adds up, and no piece waits that a gap left would hold."""
+    capacity, sizes, lengths = case
+    gaps, at = [], 0
+    for size, many in sizes.items():
+        gaps.append((size, at, many))
+        at += many
+    out = packing.sweep(gaps, [(n, 0, many) for n, many in lengths.items()], capacity)
+    words = lambda rows: sum(r[1] * r[3] for r in rows)
+    of = {k: [r for r in out if r[0] == k] for k in (packing.GAP, packing.WAITS, packing.PLACED)}
+    assert words(of[packing.PLACED]) + words(of[packing.WAITS]) == sum(n * m for n, m in lengths.items())
+    assert words(of[packing.GAP]) + words(of[packing.PLACED]) == sum(s * m for s, m in sizes.items())
+    if of[packing.WAITS] and not of[packing.PLACED]:
+        assert min(r[1] for r in of[packing.WAITS]) > max(sizes, default=0)
+
+
 def check_packed(rows, got, capacity=2048):
     want = Counter()
     for (d, _), ids in zip(rows, encoded([t for _, t in rows]), strict=True):
