@@ -13,7 +13,7 @@ capped.
 
 Vectors that are null or zero, or hold null or non-finite components, take no part, nor do those whose
 length isn't the most frequent one (the larger if tied), nor rows with a null id. Rows that repeat an id
-are vectors of their own, but no row is a neighbour of its own id. Ties go to the smaller id. Other columns of the input
+are vectors and queries of their own, but no row is a neighbour of its own id. Ties go to the smaller id. Other columns of the input
 play no part. An empty table gives an empty result.
 """
 
@@ -140,7 +140,7 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 5, id_col: str = "vec
     mean, rotation = learn(np.array(sample.column(0).combine_chunks().flatten()).reshape(-1, size))
     radius = round(radius * size / 64)
 
-    chosen = x.where(queries)
+    chosen = scratch.table(x.where(queries).withColumn("asked", F.monotonically_increasing_id()), "queries")
     blocks, parts = max(1, -(-rows // BLOCK)), max(1, -(-chosen.count() // QUERIES))
     left = x.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = chosen.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
@@ -149,19 +149,19 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 5, id_col: str = "vec
         return t.column("vec_id").to_numpy(), np.array(t.column("x").combine_chunks().flatten()).reshape(-1, size)
 
     def block(data: pa.Table, asked: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"asked": [], "query_id": [], "vec_id": [], "score": []}
         if data.num_rows and asked.num_rows:
             ids, x = matrix(data)
             index = Index(codes(x, mean, rotation), tables)
             q_ids, q = matrix(asked)
             bits = codes(q, mean, rotation)
-            for row in zip(q_ids.tolist(), q, bits, packed(bits), strict=True):
+            for n, *row in zip(asked.column("asked").to_pylist(), q_ids.tolist(), q, bits, packed(bits), strict=True):
                 found, score = nearest(index, ids, x, *row, k, radius)
-                for name, v in zip(out, (np.full(len(found), row[0]), found, score), strict=True):
+                for name, v in zip(out, (np.full(len(found), n), np.full(len(found), row[0]), found, score), strict=True):
                     out[name].append(v)
-        kinds = zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)
+        kinds = zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)
         return pa.table({name: pa.array(np.concatenate(out[name]) if out[name] else [], kind) for name, kind in kinds})
 
-    near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(block, "query_id long, vec_id long, score double")
-    by_rank = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.distinct().withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(block, "asked long, query_id long, vec_id long, score double")
+    by_rank = W.Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
