@@ -2,7 +2,8 @@
 
 A page is parsed into a tree. What is never article text goes first: scripts, styles, forms, menus, page
 headers and footers, side bars, hidden parts, and what its class, id or role calls an advert, a notice, a
-menu or reader comments. For every node of the rest:
+menu or reader comments: by a whole name, or a compound of such words and plain ones, and never if it holds most
+of the page's text together with the article or its heading. For every node of the rest:
 
     density = C/T * log(C/LC * T/LT) to the base ln(C/NLC * LC + LCb/Cb * C + e)
 
@@ -33,8 +34,6 @@ from .common import column, map_rows
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-WORD = re.compile(r"[a-z0-9]+")
-
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -57,32 +56,47 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr comment comments commentlist disqus replies sidebar menu nav navbar navigation footer breadcrumb breadcrumbs popup modal overlay newsletter subscribe subscription signup social share sharing related recommended widget toolbar pagination pager login notice notices alert skip".split())
 #: And those that do so outside the article's own element.
 SITE_MARKS = frozenset("header masthead banner topbar".split())
+#: What may stand beside such a word in a compound; any other part makes it something else ("has-sidebar", "ad-hoc").
+PLAIN = frozenset("site page main global top bottom left right primary secondary header banner list box bar block container wrapper wrap section area links link posts post items item form slot unit button buttons icons inner outer content text body title thread reader user".split())
 KEEP = frozenset("html body article main".split())
 
 
-def dropped(tag: str, raw: str, inside: bool) -> bool:
-    if tag in NEVER or tag == "header" and not inside:
+def marked(name: str, marks: frozenset[str]) -> bool:
+    """Whether one name of a class is a mark, or a compound of marks and plain words."""
+    if name in marks:
         return True
+    parts = [x for x in re.split("[-_]+", name) if x]
+    return len(parts) > 1 and any(x in marks for x in parts) and all(x in marks or x in PLAIN for x in parts)
+
+
+def dropped(tag: str, raw: str, inside: bool) -> int:
+    """Why an element isn't article text: TAG or NAMED; 0 if nothing says so."""
+    if tag in NEVER or tag == "header" and not inside:
+        return TAG
     if tag in KEEP or not raw.strip():
-        return False
+        return 0
+    marks = MARKS if inside else MARKS | SITE_MARKS
     for name, a, b, c in ATTR.findall(raw):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            words = frozenset(WORD.findall(value))
-            if words & MARKS or not inside and words & SITE_MARKS:
-                return True
+            if any(marked(x, marks) for x in value.split()):
+                return NAMED
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return TAG
         elif name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return TAG
+    return 0
+
+
+TAG, NAMED = 1, 2
 
 
 class Page:
     """A page's nodes: parents come before children, in page order."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.drop, self.inside = ["#root"], [-1], [False], [False]
+        self.tag, self.parent, self.inside = ["#root"], [-1], [False]
+        why = [0]
         #: (node, text, whether a block begins before it)
         self.texts: list[tuple[int, str, bool]] = []
         stack, at, fresh = [0], 0, True
@@ -114,7 +128,7 @@ class Page:
             self.tag.append(tag)
             self.parent.append(up)
             self.inside.append(self.inside[up] or tag in ("article", "main"))
-            self.drop.append(self.drop[up] or dropped(tag, raw, self.inside[node]))
+            why.append(dropped(tag, raw, self.inside[node]))
             if tag in RAW:
                 close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
                 at = close.end() if close else len(source)
@@ -124,6 +138,24 @@ class Page:
                 stack.append(node)
         if at < len(source):
             self.text(stack[-1], source[at:], fresh)
+        self.drop = self.judged(why)
+
+    def judged(self, why: list[int]) -> list[bool]:
+        """Which nodes go. A name alone doesn't take away what holds most of the text and the article or its heading."""
+        n = len(why)
+        gone, chars, heart = [w == TAG for w in why], [0] * n, [t in ("article", "main", "h1") for t in self.tag]
+        for i in range(1, n):
+            gone[i] = gone[i] or gone[self.parent[i]]
+        for i, t, _ in self.texts:
+            if not gone[i]:
+                chars[i] += len(" ".join(t.split()))
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+            heart[self.parent[i]] = heart[self.parent[i]] or heart[i]
+        for i in range(1, n):
+            named = why[i] == NAMED and not (heart[i] and 2 * chars[i] > chars[0])
+            gone[i] = gone[i] or named or gone[self.parent[i]]
+        return gone
 
     def end(self, stack: list[int], which: frozenset[str], scope: frozenset[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
