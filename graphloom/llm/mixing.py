@@ -122,8 +122,11 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken and first, the position of a document's first copy."""
-    return ordered(docs, Scratch(docs.sparkSession, "mixing")).select("doc_id", "size", "source_size", "target", "taken", (F.round("first", 9) + 0.0).alias("first"))
+    """doc_id, size, source_size, target, taken, first and second (positions of a document's copies, null if there is
+    none), in ranges of the first position."""
+    order = ordered(docs, Scratch(docs.sparkSession, "mixing")).repartitionByRange("first", "doc_id").sortWithinPartitions("first", "doc_id")
+    at = lambda c, name: (F.round(c, 9) + 0.0).alias(name)
+    return order.select("doc_id", "size", "source_size", "target", "taken", at("first", "first"), at("next", "second"))
 
 
 SQL = r"""
@@ -154,10 +157,12 @@ WITH d AS (
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), c AS (
   SELECT *, epochs + CASE WHEN size > 0 AND before + size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END AS copies,
-         least(CASE WHEN target > 0 THEN before::DOUBLE / target ELSE 0.0::DOUBLE END * (a + b) / 2, (a + b) / 2) AS y
+         least(CASE WHEN target > 0 THEN before::DOUBLE / target ELSE 0.0::DOUBLE END * (a + b) / 2, (a + b) / 2) AS y,
+         least(CASE WHEN target > 0 THEN (before + source_size)::DOUBLE / target ELSE 0.0::DOUBLE END * (a + b) / 2, (a + b) / 2) AS z
   FROM r
 )
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken,
-       round(CASE WHEN copies = 0 THEN NULL WHEN a = b THEN y / a ELSE (sqrt(a * a + 2 * (b - a) * y) - a) / (b - a) END, 9) + 0.0 AS first
+       round(CASE WHEN copies = 0 THEN NULL WHEN a = b THEN y / a ELSE (sqrt(a * a + 2 * (b - a) * y) - a) / (b - a) END, 9) + 0.0 AS first,
+       round(CASE WHEN copies < 2 THEN NULL WHEN a = b THEN z / a ELSE (sqrt(a * a + 2 * (b - a) * z) - a) / (b - a) END, 9) + 0.0 AS second
 FROM c
 """
