@@ -42,7 +42,7 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SEMI_JOIN_IDS = 2_000_000
 
 #: Phrases of an automaton, about (a first document's phrases stay together), and documents of a task that has one.
-SHARD_PHRASES, SHARD_DOCS = 20_000, 8_000
+SHARD_PHRASES, SHARD_DOCS = 10_000, 2_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

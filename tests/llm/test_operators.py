@@ -225,6 +225,10 @@ def test_search(spark, monkeypatch):
     few = mih.search(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).collect()
     assert sorted(r["vec_id"] for r in few) == [1, 2]
     assert mih.search(df.where("vec_id = 400"), F.col("vec_id") == 0).collect() == []
+    again = spark.createDataFrame([(i, x[10 * i].tolist()) for i in (0, 1, 1, 2, 2)], "vec_id long, embedding array<float>")
+    assert Counter(r["vec_id"] for r in mih.search(again, F.col("vec_id") == 0).collect()) == {1: 2, 2: 2}
+    twice = sorted((r["rank"], r["vec_id"]) for r in mih.search(again.where("vec_id > 0"), F.col("vec_id") == 2).collect())
+    assert twice == [(1, 1), (1, 1), (2, 1), (2, 1)]  # two queries, two candidates each
 
 
 # ---- 5 main text
@@ -265,6 +269,77 @@ def test_nested_article():
     assert got == "\n\n".join(whole)
 
 
+@pytest.mark.parametrize("wrapper", ["content has-sidebar", "post comments-open", "layout no-comments", "wrap footer-fixed", "sidebar"])
+def test_names_of_wrappers_take_no_article(wrapper):
+    body = "".join(f"<p>{str(k) * 200}</p>" for k in range(4))
+    side = "<div class='comment-list'><p>So true!</p></div><div class=cookie-banner>We bake</div><div id='related_posts'><p>More of it</p></div>"
+    got = htmltext.main_text(page(f"<div class='{wrapper}'><article><h1>The title</h1>{body}<p class='ad-hoc note'>By the way</p>{side}</article></div>{side}"))
+    assert got == "\n\n".join(["The title", *(str(k) * 200 for k in range(4)), "By the way"])
+
+
+def brute_density(node, body):
+    """Composite density of a tree (tag, texts and children) from its definition, all counts made anew."""
+
+    def count(x, link):
+        tag, inner = x
+        link = link or tag == "a"
+        out = np.zeros(4)
+        for y in inner:
+            out += [len(y), len(y) * link, 0, 0] if isinstance(y, str) else count(y, link) + [0, 0, 1, y[0] == "a"]
+        return out
+
+    link = node[0] == "a"
+    (c, lc, t, lt), (cb, lcb, _, _) = count(node, link), count(body, False)
+    if not c:
+        return 0.0
+    t, lt = max(1, t), max(1, lt)
+    base = np.log(c / max(1, c - lc) * lc + lcb / cb * c + np.e)
+    x = c / max(1, lc) * t / lt
+    return c / t * (np.log(x) / np.log(base) if base > 1 + 1e-9 else np.log(x) + 1)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_densities_by_brute_force(seed):
+    rng = random.Random(seed)
+
+    def tree(depth, tag):
+        tags = ["b", "i"] if tag in ("p", "a", "b", "i") else ["div", "section", "p", "a"]
+        inner = [rng.choice("xyz") * rng.randint(1, 60) if rng.random() < 0.5 or not depth else tree(depth - 1, rng.choice(tags)) for _ in range(rng.randint(0, 4))]
+        return tag, inner
+
+    body = tree(4, "body")
+    order = []
+
+    def text(x):
+        order.append(x)
+        return f"<{x[0]}>" + "".join(y if isinstance(y, str) else text(y) for y in x[1]) + f"</{x[0]}>"
+
+    source = htmltext.Page(text(body))
+    density, total = source.densities()
+    assert [source.tag[i] for i in range(1, len(source.tag))] == [x[0] for x in order]
+    want = [brute_density(x, body) for x in order]
+    # a link's text inside a link is the link's; nodes below one count as linked, too
+    inside = [False] * len(source.tag)
+    for i in range(1, len(source.tag)):
+        inside[i] = inside[source.parent[i]] or source.tag[source.parent[i]] == "a"
+    for i, x in enumerate(want):
+        if not inside[i + 1]:
+            assert density[i + 1] == pytest.approx(x)
+    for i in range(1, len(source.tag)):
+        kids = [k for k in range(1, len(source.tag)) if source.parent[k] == i and source.tag[k] not in htmltext.PHRASE]
+        assert total[i] == pytest.approx(sum(density[k] for k in kids))
+
+
+def test_pages_of_all_kinds(spark):
+    long = "<article>" + "<p>" + "word " * 60_000 + "</p>" * 2 + "</article>"
+    rows = [(1, "u", page(long), "x"), (1, "u", page(long), "x"), (None, None, None, None), (2, "", "", "y"), (3, "v", "<div><script>x", "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted(htmltext.extract(df).collect(), key=str)
+    assert [(r["page_id"], r["n_chars"]) for r in got if r["page_id"] == 1] == [(1, 5 * 60_000 - 1)] * 2
+    assert all(r["text"] == "" for r in got if r["page_id"] != 1) and len(got) == 5
+    assert htmltext.extract(df.where("false")).collect() == []
+
+
 @needs_data
 def test_pages_table(spark):
     import html
