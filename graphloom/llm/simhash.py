@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from graphloom.iterate import connected_components
 
-from .common import Scratch, column, map_rows
+from .common import Scratch, column, join_counted, map_rows
 
 #: Least and most rows of a tile; in between there are about TILES of them.
 TILE_LEAST, TILE_MOST, TILES = 8192, 1_000_000, 256
@@ -272,8 +272,9 @@ def verified(docs: DataFrame, rows: DataFrame, scratch: Scratch, id_: F.Column,
     nodes = rows.groupBy("component", "node").agg(F.first("size").alias("size"), F.min(F.struct("doc_id", "key")).alias("who"))
     nodes = scratch.table(nodes, "members")
     groups = nodes.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
+    groups = scratch.table(groups.where("n > 1"), "groups")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
-    nodes = nodes.join(groups.where("n > 1").select("component", blocks.alias("k")), "component")
+    nodes = join_counted(nodes, groups.select("component", blocks.alias("k"), "n"), ["component"])
     nodes = scratch.table(nodes.select("component", "k", "node", F.col("who.doc_id").alias("known_id"), F.col("who.key").alias("known_key")), "proposed")
     near = F.broadcast if nodes.count() <= BROADCAST_ROWS else (lambda df: df)
     read = docs.select(id_.alias("id"), key.alias("key"), text.alias("text"))
@@ -334,11 +335,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         same = connected_components(scratch.table(edges, "verified"), scratch)
         labels = labels.select("node").join(same.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     rows = rows.join(labels, "node")
-    rows = scratch.table(rows.select("component", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key").alias("who"), "n"), "rows")
-    first = rows.groupBy("component").agg(F.min("who").alias("first"))
-    judged = rows.join(first, "component").select(F.col("who.doc_id").alias("known_id"), F.col("who.key").alias("known_key"), (F.col("who") != F.col("first")).alias("goes"), "n")
+    rows = scratch.table(rows.select("component", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key").alias("who"), F.col("n").alias("times")), "rows")
+    first = scratch.table(rows.groupBy("component").agg(F.min("who").alias("first"), F.count("*").alias("n")), "first")
+    judged = join_counted(rows, first, ["component"]).select(F.col("who.doc_id").alias("known_id"), F.col("who.key").alias("known_key"), (F.col("who") != F.col("first")).alias("goes"), "times")
     # a row for each id and text that goes, or that comes several times
-    judged = scratch.table(judged.where("goes or n > 1"), "judged")
+    judged = scratch.table(judged.where("goes or times > 1"), "judged")
     total = judged.count()
     goes, more = judged.where("goes"), judged.where("not goes")
     near = F.broadcast if total <= BROADCAST_ROWS else (lambda df: df)
