@@ -20,7 +20,8 @@ def csr(graph: Graph, end: str = "src") -> DataFrame:
 
 def csr_by_boundary(graph: Graph, store, end: str = "src") -> DataFrame:
     """id, offset, from the sorted edges: where their end changes, or the next vertex's offset."""
-    first = positions(graph.edges.select(F.col(end).alias("id")), ["id"], "at", store).groupBy("id").agg(F.min("at").alias("first"))
+    other = "dst" if end == "src" else "src"  # splits the edges of a heavy vertex
+    first = positions(graph.edges.select(F.col(end).alias("id"), F.col(other).alias("other")), ["id", "other"], "at", store).groupBy("id").agg(F.min("at").alias("first"))
     total = graph.edges.count()
     marks = graph.vertices.join(first, "id", "left")
     return scan(marks, "id", F.coalesce("first", F.lit(total)), "offset", "min", inclusive=True, backward=True).select("id", "offset")
@@ -66,6 +67,32 @@ def sorted_cells(graph: Graph, p: int, store) -> DataFrame:
     return placed.join(begin, "cell").withColumn("slot", F.col("position") - F.col("begin")).drop("position", "begin")
 
 
+def cells(graph: Graph, p: int, store) -> DataFrame:
+    """row_part, col_part, chunk, edges: what each cell holds, sorted, in chunks, so that no row holds a heavy cell."""
+    chunk = X.div(F.col("slot"), CHUNK).cast("long").alias("chunk")
+    return sorted_cells(graph, p, store).groupBy("row_part", "col_part", chunk).agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("edges"))
+
+
+def load(graph: Graph, mode: int, store, p: int) -> DataFrame:
+    """The layout of a number: 0 sorted grid, 1 grid of cells, 2 and 4 outgoing adjacency, 3 incoming adjacency,
+    5 adjacency of both directions, 6 grid with sorted cells, 7 and 8 edges sorted by source or both ends, 9 edges as they are."""
+    layouts = {
+        0: lambda: positions(grid(graph, p), ["cell", "src", "dst"], "position", store),
+        1: lambda: cells(graph, p, store),
+        2: lambda: adjacency(graph, store),
+        3: lambda: adjacency(graph, store, "dst", "src"),
+        4: lambda: adjacency(graph, store),
+        5: lambda: adjacency(graph.undirected(), store),
+        6: lambda: sorted_cells(graph, p, store),
+        7: lambda: edge_list(graph, store, "src"),
+        8: lambda: edge_list(graph, store, "src", "dst"),
+        9: lambda: graph.edges,
+    }
+    if mode not in layouts:
+        raise ValueError(f"no layout has the number {mode}")
+    return layouts[mode]()
+
+
 def equal_ranges(n: int, parts: int) -> list[int]:
     """Boundaries of ranges with equally many vertices: parts + 1 numbers."""
     return [i * n // parts for i in range(parts + 1)]

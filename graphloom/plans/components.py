@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..graph import Graph
 from ..iterate import connected_components
-from .traversal import dealt
+from . import program
 
 
 def components(graph: Graph, store, strategy: str = "edge", p: int | None = None) -> DataFrame:
@@ -30,17 +30,7 @@ def components(graph: Graph, store, strategy: str = "edge", p: int | None = None
 
 def least_labels(graph: Graph, store) -> DataFrame:
     """id, component: the least vertex from which directed edges lead there (itself included)."""
-    state = store.table(graph.vertices.withColumn("component", F.col("id")), "labels")
-    frontier = state
-    with dealt(graph.known().in_range().edges.select("src", F.col("dst").alias("id")), "src") as edges:
-        while True:
-            found = edges.join(frontier.select(F.col("id").alias("src"), F.col("component").alias("found")), "src").groupBy("id").agg(F.min("found").alias("found"))
-            new = store.table(found.join(state, "id").where("found < component").select("id", F.col("found").alias("component")), "changed")
-            if new.isEmpty():
-                return state
-            merged = store.table(state.unionByName(new).groupBy("id").agg(F.min("component").alias("component")), "labels")
-            store.drop(state, *([frontier] if frontier is not state else []))
-            state, frontier = merged, new
+    return program.run(program.labels(), graph, store).withColumnRenamed("value", "component")
 
 
 def sizes(labels: DataFrame) -> DataFrame:

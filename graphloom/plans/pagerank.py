@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..graph import Graph
+from .dealing import dealt, near
 
 #: Ranks of up to this many vertices are sent to all executors (16 bytes each).
 BROADCAST_ROWS = 1_000_000
@@ -18,30 +18,25 @@ EVERY = 5
 def pagerank(graph: Graph, store, strategy: str = "push", rounds: int = 10, damping: float = 0.85, init: float = 0.15, p: int | None = None) -> DataFrame:
     """id, rank of every vertex. Vertices without outgoing edges pass nothing on.
 
-    strategy: push (edges dealt by source), pull (by target), edge (as they come), grid (summed by cell of a
-    grid first), range (target ranges). They give the same sums in different orders.
+    Edges never move in a round. They are dealt by their source, heavy sources in slices, and ranks come to
+    them; for pull and edge they lie by target or as they come, and ranks go to all executors, up to
+    BROADCAST_ROWS vertices. Sums are made by target; for grid by cell of a grid first, for range by the range
+    that owns the target first. The strategies give the same sums in different orders.
     """
     n, p = graph.n, p or X.grid_dimension(graph.n)
     graph = graph.known().in_range()
     degree = graph.edges.groupBy("src").agg(F.count("*").alias("out_degree"))
     edges = graph.edges.select("src", "dst").join(degree, "src")
-    if strategy == "grid":
-        edges = edges.withColumns({"row_part": X.partition_id("src", n, p), "col_part": X.partition_id("dst", n, p)})
-    edges = {"push": lambda: edges.repartition("src"), "pull": lambda: edges.repartition("dst"), "range": lambda: edges.repartitionByRange("dst")}.get(strategy, lambda: edges)()
-    edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
+    groups = {"grid": {"row_part": X.partition_id("src", n, p), "col_part": X.partition_id("dst", n, p)}, "range": {"owner": X.partition_id("dst", n, p)}}.get(strategy, {})
     ranks = graph.vertices.withColumn("rank", F.lit(init))
-    try:
+    small = strategy in ("pull", "edge") and n <= BROADCAST_ROWS
+    with near(edges, "dst" if strategy == "pull" else None) if small else dealt(edges.withColumns(groups) if groups else edges, store) as kept:
         for i in range(rounds):
-            sent = ranks.select(F.col("id").alias("src"), "rank")
-            if strategy in ("pull", "edge") and n <= BROADCAST_ROWS:
-                sent = F.broadcast(sent)
-            share = edges.join(sent, "src").withColumn("share", F.col("rank") / F.col("out_degree"))
-            if strategy == "grid":
-                share = share.groupBy("row_part", "col_part", "dst").agg(F.sum("share").alias("share"))
+            share = kept.join(ranks.select(F.col("id").alias("src"), "rank")).withColumn("share", F.col("rank") / F.col("out_degree"))
+            if groups:
+                share = share.groupBy(*groups, "dst").agg(F.sum("share").alias("share"))
             sums = share.groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("sum"))
             ranks = graph.vertices.join(sums, "id", "left").select("id", ((1 - damping) / n + damping * F.coalesce("sum", F.lit(0.0))).alias("rank"))
             if (i + 1) % EVERY == 0 or i + 1 == rounds:
                 ranks = store.table(ranks, "ranks")
         return ranks
-    finally:
-        edges.unpersist()

@@ -1,39 +1,23 @@
 """Breadth-first search and shortest paths, level by level.
 
 A round's new vertices are written to the shared folder; what was visited is the union of the rounds. The
-edges are dealt out by their source once, and kept so: a round moves the frontier, not the edges.
+edges are dealt out by their source once, and kept so: a round moves the frontier and the vertices that it
+reaches, not the edges. Reached vertices are brought together before they meet the visited ones, by an outer
+join, which the optimizer doesn't move below the aggregate and back to the edges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..graph import Graph
+from . import program
+from .dealing import dealt, frontier_degree
 
 #: Part of the edges that a frontier may touch before the search pulls.
 SWITCH = 20
-#: A frontier up to this many vertices is sent to all executors (16 bytes each).
-BROADCAST_ROWS = 1_000_000
-
-
-@contextmanager
-def dealt(edges: DataFrame, key: str | None) -> Iterator[DataFrame]:
-    """edges in memory or on disk, partitioned by a key (as they are, if none), recomputed from their source if lost."""
-    kept = (edges.repartition(key) if key else edges).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield kept
-    finally:
-        kept.unpersist()
-
-
-def near(frontier: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(frontier) if rows <= BROADCAST_ROWS else frontier
 
 
 def union(tables: list[DataFrame]) -> DataFrame:
@@ -43,45 +27,50 @@ def union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def push(edges: DataFrame, frontier: DataFrame, visited: DataFrame, graph: Graph) -> DataFrame:
-    """Edges that leave the frontier, to vertices that weren't visited."""
-    return edges.join(frontier.select(F.col("id").alias("src")), "src").join(visited.select(F.col("id").alias("dst")), "dst", "left_anti")
+def reached(edges: DataFrame) -> DataFrame:
+    """id, parent: where edges lead, once each, with their least source."""
+    return edges.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
 
 
-def pull(edges: DataFrame, frontier: DataFrame, visited: DataFrame, graph: Graph) -> DataFrame:
-    """The same edges, sought from the unvisited vertices."""
-    open_ = graph.vertices.join(visited.select("id"), "id", "left_anti").select(F.col("id").alias("dst"))
-    return edges.join(open_, "dst").join(frontier.select(F.col("id").alias("src")), "src", "left_semi")
+def push(found: DataFrame, visited: DataFrame, graph: Graph) -> DataFrame:
+    """Of the vertices found, those that weren't visited."""
+    return found.join(visited.select("id", F.lit(True).alias("seen")), "id", "left").where("seen is null").drop("seen")
+
+
+def pull(found: DataFrame, visited: DataFrame, graph: Graph) -> DataFrame:
+    """The unvisited vertices that have been found."""
+    open_ = graph.vertices.join(visited.select("id", F.lit(True).alias("seen")), "id", "left").where("seen is null").select("id")
+    return open_.join(found, "id")
 
 
 def bfs(graph: Graph, store, root: int = 0, strategy: str = "auto", p: int | None = None) -> DataFrame:
     """id, level (1 for the root), parent (the least vertex of the level above that leads there; the root's
     own) of all vertices that the root reaches.
 
-    strategy: push, pull, auto (pull while the frontier touches much), edge (scan all edges against a small
-    frontier), grid (skip grid rows without active vertices), range (edges partitioned by target). All agree.
+    strategy: push, pull (from the unvisited vertices), auto (pull while the frontier touches much), edge (the
+    flat edge list), grid (skip grid rows without active vertices), range (by the range that owns the target).
+    All agree.
     """
     graph = graph.known().in_range()
     p = p or X.grid_dimension(graph.n)
     edges = graph.edges.select("src", "dst", X.partition_id("src", graph.n, p).alias("row_part"))
-    if strategy == "range":
-        edges = edges.repartitionByRange("dst")
-    key = {"pull": "dst", "range": None}.get(strategy, "src")
     levels = [store.table(graph.spark.createDataFrame([(root, 1, root)], "id long, level long, parent long"), "level")]
     visited, rows, parts = levels[0], 1, levels[:]
-    with dealt(edges, key) as kept:
-        total, degree = (kept.count(), store.table(graph.out_degree(), "degree")) if strategy == "auto" else (0, None)
+    with dealt(edges, store) as kept:
+        total, degree = (kept.kept.count(), store.table(graph.out_degree(), "degree")) if strategy == "auto" else (0, None)
         while True:
             frontier = levels[-1]
-            some, step = kept, pull if strategy == "pull" else push
+            step = pull if strategy == "pull" else push
             if strategy == "auto":
                 touched = frontier_degree(frontier, degree).first()["degree"]
                 step = pull if rows + touched > total // SWITCH else push
+            some = kept.join(frontier.select(F.col("id").alias("src")))
             if strategy == "grid":
                 active = [r[0] for r in frontier.select(X.partition_id("id", graph.n, p)).distinct().collect()]  # p at most
-                some = kept.where(F.col("row_part").isin(active))
-            found = step(some, near(frontier, rows) if strategy == "edge" else frontier, visited, graph)
-            new = found.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+                some = some.where(F.col("row_part").isin(active))
+            if strategy == "range":
+                some = some.groupBy(X.partition_id("dst", graph.n, p).alias("owner"), "dst").agg(F.min("src").alias("src"))
+            new = step(reached(some), visited, graph)
             new = store.table(new.select("id", F.lit(len(levels) + 1).cast("long").alias("level"), "parent"), "level")
             rows = new.count()
             if not rows:
@@ -96,29 +85,13 @@ def bfs(graph: Graph, store, root: int = 0, strategy: str = "auto", p: int | Non
                 visited = visited.unionByName(new)
 
 
-def frontier_degree(frontier: DataFrame, degree: DataFrame) -> DataFrame:
-    """How many edges leave the frontier: degree."""
-    return frontier.select("id").join(degree, "id").agg(F.coalesce(F.sum("out_degree"), F.lit(0)).cast("long").alias("degree"))
-
+def shortest_paths(graph: Graph, store, root: int = 0, weight: str = "unit", strategy: str = "push") -> DataFrame:
+    """id, dist of all vertices that the root reaches; weight: unit, or edge (the edges', whole numbers).
 
-def shortest_paths(graph: Graph, store, root: int = 0, weight: str = "unit") -> DataFrame:
-    """id, dist of all vertices that the root reaches; weight: unit, or edge (the edges', whole numbers)."""
-    graph = graph.known().in_range() if weight == "unit" else graph.known().in_range().with_weights()
-    w = F.lit(1) if weight == "unit" else F.col("weight")
-    edges = graph.edges.where("src <> dst").select("src", F.col("dst").alias("id"), w.alias("w"))
-    state = store.table(graph.spark.createDataFrame([(root, 0)], "id long, dist long"), "state")
-    frontier = state
-    with dealt(edges, "src") as kept:
-        while True:
-            found = kept.join(frontier.select(F.col("id").alias("src"), "dist"), "src")
-            found = found.groupBy("id").agg(F.min((F.col("dist") + F.col("w")).cast("long")).alias("found"))
-            new = found.join(state, "id", "left").where("dist is null or found < dist")
-            new = store.table(new.select("id", F.col("found").alias("dist")), "frontier")
-            if new.isEmpty():
-                return state
-            merged = store.table(state.unionByName(new).groupBy("id").agg(F.min("dist").alias("dist")), "state")
-            store.drop(state, *([frontier] if frontier is not state else []))
-            state, frontier = merged, new
+    strategy: push, pull, auto, as vertex programs have them."""
+    graph = graph if weight == "unit" else graph.with_weights()
+    graph = Graph(graph.edges.where("src <> dst"), graph.n)
+    return program.run(program.distances(root, weight), graph, store, strategy).withColumnRenamed("value", "dist")
 
 
 def path_parents(graph: Graph, dist: DataFrame, weight: str = "edge") -> DataFrame:

@@ -13,6 +13,7 @@ from .operators import layout as L
 from .operators import sequence as S
 from .plans import components as C
 from .plans import pagerank as PR
+from .plans import program as VP
 from .plans import spmv as M
 from .plans import traversal as T
 from .sources import packed, tables
@@ -248,6 +249,20 @@ def _(spark, d, store):
     return L.grid(sparse(spark, d), P).groupBy("row_part", "col_part").agg(F.count("*").alias("edges"))
 
 
+@query("grid_cell_contents", on1(f"SELECT row_part, col_part, 0::BIGINT AS chunk, string_agg(src || '-' || dst, ',' ORDER BY src, dst) AS edges FROM ({CELLS}) GROUP BY ALL"))
+def _(spark, d, store):
+    pair = lambda e: F.concat_ws("-", e["src"].cast("string"), e["dst"].cast("string"))
+    return L.cells(dense(spark, d), P, store).withColumn("edges", F.array_join(F.transform("edges", pair), ","))
+
+
+@query("load_modes", on1("SELECT range AS mode, (SELECT count(*) FROM e) * CASE range WHEN 5 THEN 2 ELSE 1 END AS edges FROM range(10)"))
+def _(spark, d, store):
+    g = dense(spark, d)
+    size = {1: F.size("edges"), **dict.fromkeys((2, 3, 4, 5), F.size("neighbors"))}
+    out = [L.load(g, m, store, P).agg(F.sum(size.get(m, F.lit(1))).cast("long").alias("edges")).select(F.lit(m).cast("long").alias("mode"), "edges") for m in range(10)]
+    return T.union(out)
+
+
 @query("grid_cell_size", on2(f"SELECT c.range // {P} AS row_part, c.range % {P} AS col_part, count(src) AS edges, (sum(count(src)) OVER (ORDER BY c.range) - count(src))::BIGINT AS \"offset\" FROM range({P * P}) c LEFT JOIN ({CELLS}) g ON g.row_part * {P} + g.col_part = c.range GROUP BY c.range"))
 def _(spark, d, store):
     return L.cell_sizes(sparse(spark, d), P)
@@ -483,6 +498,39 @@ def _(spark, d, store):
     return dist.agg(F.max("dist").alias("farthest"), F.coalesce(F.max(F.when(F.col("id") == 1, F.col("dist"))), F.lit(-1)).cast("long").alias("dist_1"))
 
 
+for _name, _strategy in (("sssp_pull", "pull"), ("sssp_auto", "auto")):
+
+    @query(_name, recursive(G1, N, SUM, "SELECT id, dist FROM l"))
+    def _(spark, d, store, strategy=_strategy):
+        return T.shortest_paths(dense(spark, d), store, weight="edge", strategy=strategy)
+
+
+# ---- vertex programs -----------------------------------------------------------------------------------
+
+
+@query("program_levels", recursive(G1, N, REACH, "SELECT id, level AS value FROM l"))
+def _(spark, d, store):
+    return VP.run(VP.levels(), dense(spark, d), store, "auto")
+
+
+@query("program_distances", recursive(G1, N, SUM, "SELECT id, dist AS value FROM l"))
+def _(spark, d, store):
+    return VP.run(VP.distances(0, "edge"), dense(spark, d).with_weights(), store)
+
+
+@query("program_ranks", ranks_sql(G1, N).replace("AS rank FROM r10", "AS value FROM r10"))
+def _(spark, d, store):
+    g = dense(spark, d)
+    degree = g.edges.groupBy("src").agg(F.count("*").alias("out_degree"))
+    g = Graph(g.edges.join(degree, "src"), g.n)
+    return VP.run(VP.ranks(g.n, ROUNDS), g, store).select("id", F.round("value", 8).alias("value"))
+
+
+@query("program_sums", on1("SELECT id, coalesce(sum(src), 0)::BIGINT AS value FROM v LEFT JOIN e ON id = dst GROUP BY id"))
+def _(spark, d, store):
+    return VP.run(VP.sums(), dense(spark, d), store)
+
+
 @query("rand_weight_expr", on2("SELECT id, id % 10 + 1 AS weight FROM v"))
 def _(spark, d, store):
     return sparse(spark, d).vertices.select("id", X.ring_weight("id").alias("weight"))
@@ -505,6 +553,11 @@ def _(spark, d, store):
     return C.least_labels(sparse(spark, d), store)
 
 
+@query("program_labels", recursive(G2, N, FORWARD, "SELECT id, component AS value FROM l"))
+def _(spark, d, store):
+    return VP.run(VP.labels(), sparse(spark, d), store)
+
+
 @query("wcc_sizes", recursive(G2, N, BOTH, "SELECT component, count(*) AS size FROM l GROUP BY component"))
 def _(spark, d, store):
     return C.sizes(C.components(sparse(spark, d), store))
@@ -623,9 +676,27 @@ def _(spark, d, store):
     return S.bucket_offsets(seq, (seq.agg(F.max("value")).first()[0] or 0) + 1)
 
 
-@query("transpose", on_seq("SELECT (pos % 25) * 40 + pos // 25 AS pos, value FROM s WHERE pos < 1000"))
+@query("transpose", on_seq("SELECT (pos % 25) * ((SELECT max(pos) FROM s) // 25 + 1) + pos // 25 AS pos, value FROM s"))
+def _(spark, d, store):
+    seq = sequence(spark, d)
+    return S.transpose(seq, (seq.agg(F.max("pos")).first()[0] or 0) // 25 + 1, 25)
+
+
+@query("seq_fold", on_seq("SELECT coalesce(arg_max(value, pos) FILTER (value % 3 = 0), arg_min(value, pos)) AS value FROM s"))
+def _(spark, d, store):
+    return S.fold(sequence(spark, d), lambda a, b: F.when(flag(b), b).otherwise(a), store)
+
+
+@query("bitmap_get", on2("SELECT id, id IN (SELECT src FROM e) AND id NOT IN (SELECT dst FROM e) AS is_set FROM v"))
+def _(spark, d, store):
+    g = sparse(spark, d)
+    ids = lambda end: g.edges.select(F.col(end).alias("id"))
+    return S.bitmap_get(S.bitmap_clear(S.bitmap_set(S.bitmap_fill(spark, g.n), ids("src")), ids("dst")), g.vertices)
+
+
+@query("bitmap_fill", on2("SELECT range AS word, least(64, n - 64 * range) AS bits FROM n, range((SELECT (n + 63) // 64 FROM n))"))
 def _(spark, d, store):
-    return S.transpose(sequence(spark, d), 40, 25)
+    return S.bitmap_fill(spark, sparse(spark, d).n, True).select("word", F.bit_count("bits").cast("long").alias("bits"))
 
 
 @query("bitmap_ops", on2("SELECT range AS word, count(DISTINCT src) AS bits FROM range((SELECT (n + 63) // 64 FROM n)) LEFT JOIN e ON src // 64 = range GROUP BY range"))

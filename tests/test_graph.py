@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections import deque
+from collections import Counter, deque
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -16,7 +16,9 @@ from graphloom.operators import layout as L
 from graphloom.operators import scan as SC
 from graphloom.operators import sequence as S
 from graphloom.plans import components as C
+from graphloom.plans import dealing
 from graphloom.plans import pagerank as PR
+from graphloom.plans import program as VP
 from graphloom.plans import spmv as M
 from graphloom.plans import traversal as T
 from graphloom.sources import packed
@@ -192,3 +194,66 @@ def test_packed_files(spark, tmp_path):
         packed.read_packed(spark, f"file://{tmp_path}/one", weighted=True).collect()
     with pytest.raises(Exception, match="unsigned"):
         packed.write_packed(spark.createDataFrame([(-1, 0)], "src long, dst long"), f"file://{tmp_path}/bad")
+
+
+def scans_until_join(df):
+    """For every scan of kept edges in a plan, the operators between it and its join."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    out = []
+    for i, line in enumerate(lines):
+        if "InMemoryTableScan" in line and "dst" in line:
+            k = next(k for k in range(i - 1, -1, -1) if "Join" in lines[k])
+            out.append(" ".join(lines[k + 1 : i]))
+    return out
+
+
+@pytest.mark.parametrize("hub", [1_000_000, 3])
+def test_edges_stay(spark, monkeypatch, hub):
+    """No round moves the edges, whether or not a source fills several slices; results are the same."""
+    monkeypatch.setattr(dealing, "HUB", hub)
+    edges = [(0, k) for k in range(1, 12)] + [(k, (3 * k) % 17) for k in range(17)] + [(5, 9)] * 4
+    g, store = graph(spark, 17, edges), Store(spark, "stay")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        with dealing.dealt(g.edges, store) as kept:
+            assert (kept.hubs is not None) == (hub == 3)
+            frontier = store.table(spark.range(5).select(F.col("id").alias("src"), F.lit(0.5).alias("rank")), "frontier")
+            visited = store.table(spark.range(2), "visited")
+            found = T.reached(kept.join(frontier.select("src")))
+            rank = kept.join(frontier).groupBy("dst").agg(F.sum("rank"))
+            for df in (T.push(found, visited, g), T.pull(found, visited, g), rank):
+                between = scans_until_join(df)
+                assert between and not any("Exchange" in x for x in between)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = levels(17, edges)
+    assert dict(T.bfs(g, store, strategy="range", p=3).select("id", "level").collect()) == want
+    assert dict(VP.run(VP.levels(), g, store, "auto").collect()) == want
+    degree = Counter(s for s, _ in edges)
+    rank = [0.15 / 17] * 17
+    for s, d in edges:
+        rank[d] += 0.85 * 0.15 / degree[s]
+    monkeypatch.setattr(PR, "BROADCAST_ROWS", 0)
+    for strategy in ("pull", "grid"):
+        got = dict(PR.pagerank(g, store, strategy, 1, p=3).collect())
+        assert [got[k] for k in range(17)] == pytest.approx(rank)
+
+
+def test_fold_bitmaps_and_layouts(spark):
+    store = Store(spark, "primitives")
+    seq = spark.createDataFrame([(i, "abcdefg"[i % 7]) for i in range(100)], "pos long, value string")
+    assert [r["value"] for r in S.fold(seq, lambda a, b: F.concat(a, b), store, block=4).collect()] == ["".join("abcdefg"[i % 7] for i in range(100))]
+    assert S.fold(seq.where("false"), lambda a, b: F.concat(a, b), store).collect() == []
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    for on in (False, True):
+        b = S.bitmap_clear(S.bitmap_set(S.bitmap_fill(spark, 130, on), ids(0, 63, 64, 64, 129)), ids(63, 5))
+        got = {r["id"] for r in S.bitmap_get(b, spark.range(130)).where("is_set").collect()}
+        assert got == (set(range(130)) - {63, 5} if on else {0, 64, 129})
+    turned = {r["pos"]: r["value"] for r in S.transpose(seq.where("pos < 8"), 3, 3).collect()}
+    assert "".join(turned[k] for k in sorted(turned)) == "adgbeacf"
+    with pytest.raises(ValueError, match="layout"):
+        L.load(graph(spark, 2, [(0, 1)]), 10, store, 2)
