@@ -574,6 +574,41 @@ def test_licences(spark):
     assert got[3] == got[4] == got[7] == (None, None)
 
 
+def brute_licence(text):
+    """The best (licence, dice) over lines, the whole text, and all windows of a template's words from one of its bigrams."""
+    split = licences.template_words
+    sets = lambda w: {f"{a} {b}" for a, b in zip(w, w[1:])}
+    units = [split(u) for u in text.split("\n") + [text]]
+    found = []
+    for name, body in licences.TEMPLATES.items():
+        n, b = len(split(body)), sets(split(body))
+        w = split(text)
+        for u in units + [w[i : i + n] for i in range(len(w) - 1) if f"{w[i]} {w[i + 1]}" in b]:
+            a = sets(u)
+            dice = 2.0 * len(a & b) / (len(a) + len(b))
+            if dice >= 0.8:
+                found.append((-dice, name))
+    return (min(found)[1], -min(found)[0]) if found else (None, None)
+
+
+def test_licences_among_other_text(spark):
+    import random
+    import textwrap
+
+    rng = random.Random(4)
+    code = lambda n: "\n".join(f"int f{rng.random():.9f} (software the use of {rng.randrange(9)});" for _ in range(n))
+    texts = {}
+    for name, body in licences.TEMPLATES.items():
+        texts[name] = code(5) + "\n" + textwrap.fill(body, 60, initial_indent="// ", subsequent_indent="// ") + "\n" + code(40)
+        texts[f"{name} in a line"] = f"see below ; {body} ; and {code(1)}"
+        texts[f"half of {name}"] = code(3) + body[: len(body) // 2]
+        texts[f"{name}, mended"] = code(3) + "\n" + " ".join("word" if rng.random() < 0.06 else w for w in body.split()) + code(2)
+    got = {r["doc_id"]: (r["licence"], r["dice"]) for r in licences.scan(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    assert got == {k: brute_licence(v) for k, v in texts.items()}
+    for name in licences.TEMPLATES:  # a short notice may be part of a longer one
+        assert got[name][1] == got[f"{name} in a line"][1] == 1.0 and name.startswith(got[name][0])
+
+
 # ---- 10 packing
 
 
