@@ -7,8 +7,8 @@ stands among other words. Text is normalised by lower-casing A-Z and taking runs
 With A and B the sets of bigrams, the coefficient is 2 |A and B| / (|A| + |B|). It can reach a threshold t
 only if |A| lies between t / (2 - t) and (2 - t) / t times |B|, so a template is compared only with units
 of such a size; and since a unit has at least as many bigrams as distinct words but one, long units go
-before their bigrams are made. Nor can it without t / (2 - t) of the template's bigrams, so windows are
-made only of documents that hold so many of them.
+before their bigrams are made. Nor can it without t / (2 - t) of the template's bigrams, which needs a
+least number of its words, so windows are made only of documents that hold so many words, then bigrams.
 
 Null, empty and one-word texts hold no licence. Repeated rows stay. The best unit of a document counts;
 ties go to the template that comes first in order of its name. Other columns of the input are not read. An empty table gives an empty result.
@@ -17,6 +17,8 @@ ties go to the template that comes first in order of its name. Other columns of
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +60,23 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value made once; within a lambda a column may be made anew at each turn."""
+    return F.transform(F.array(value), body)[0]
+
+
+def least_words(bigrams: list[str], least: int) -> int:
+    """Distinct words that any `least` of the bigrams have, at the fewest: k words are in no more bigrams
+    than half the sum of the k largest counts of bigrams that a word is in."""
+    count = Counter(w for b in bigrams for w in b.split(" "))
+    held = k = 0
+    for n in sorted(count.values(), reverse=True):
+        if held >= 2 * least:
+            break
+        held, k = held + n, k + 1
+    return k
+
+
 def size_bounds(n: int, least: float) -> tuple[int, int]:
     """Least and most bigrams of a unit that may reach the threshold with a template of n."""
     return math.ceil(least / (2 - least) * n - 1e-9), math.floor((2 - least) / least * n + 1e-9)
@@ -74,7 +93,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     known = [(name, len(template_words(text)), template_bigrams(text)) for name, text in sorted(templates.items())]
     bounds = [size_bounds(len(b), least) for _, _, b in known]
     lo, hi = min(b[0] for b in bounds), max(b[1] for b in bounds)
-    table = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(n).alias("n_words"), F.array(*map(F.lit, b)).alias("bigrams"), F.lit(x).alias("lo"), F.lit(y).alias("hi")) for (name, n, b), (x, y) in zip(known, bounds, strict=True)))
+    table = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(n).alias("n_words"), F.array(*map(F.lit, b)).alias("bigrams"), F.lit(x).alias("lo"), F.lit(y).alias("hi"), F.array(*map(F.lit, sorted({w for g in b for w in g.split(" ")}))).alias("words"), F.lit(least_words(b, x)).alias("least_words")) for (name, n, b), (x, y) in zip(known, bounds, strict=True)))
     bigrams = sorted({x for _, _, b in known for x in b})
     firsts, seconds = (sorted({x.split(" ")[k] for x in bigrams}) for k in (0, 1))
 
@@ -83,24 +102,28 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     lines = F.split("text", "\n")
     lowered = lambda w: F.split(F.lower(F.array_join(w, " ")), " ")
     df = df.withColumn("words", lowered(normalised(F.col("text"))))
-    units = F.transform(F.filter(F.transform(lines, normalised), lambda w: F.size(w) > lo), lowered)
-    df = df.select("doc_id", "words", F.concat(units, F.when((F.size(lines) > 1) & (F.size("words") > lo), F.array("words")).otherwise(F.array().cast("array<array<string>>"))).alias("units"))
-    df = df.withColumn("units", F.filter("units", lambda w: F.size(F.array_distinct(w)) - 1 <= hi))
-    pairs = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    df = df.withColumn("units", F.filter(F.transform("units", pairs), lambda b: F.size(b).between(lo, hi)))
-
+    none = F.array().cast("array<array<string>>")
+    known_words = F.array_intersect(F.array(*map(F.lit, sorted({*firsts, *seconds}))), F.col("words"))
+    df = df.withColumn("near", let(known_words, lambda held: F.filter(table, lambda t: F.size(F.array_intersect(t["words"], held)) >= t["least_words"])))
     # a place for each word: the bigram that begins there, null where no template has it
     after = F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))
     at = F.zip_with("words", after, lambda a, b: F.when(a.isin(firsts) & b.isin(seconds), F.concat_ws(" ", a, b)))
-    df = df.withColumn("at", F.transform(at, lambda x: F.when(x.isin(bigrams), x)))
-    df = df.withColumn("held", F.array_distinct(F.array_compact("at")))
-    df = df.withColumn("near", F.filter(table, lambda t: F.size(F.array_intersect(t["bigrams"], F.col("held"))) >= t["lo"]))
+    df = df.withColumn("at", F.when(F.size("near") > 0, F.transform(at, lambda x: F.when(x.isin(bigrams), x))).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("near", let(F.array_distinct(F.array_compact("at")), lambda held: F.filter("near", lambda t: F.size(F.array_intersect(t["bigrams"], held)) >= t["lo"])))
+
+    # no unit of a document can come near a template that the document itself isn't near
+    units = F.transform(F.filter(F.transform(lines, normalised), lambda w: F.size(w) > lo), lowered)
+    units = F.concat(units, F.when((F.size(lines) > 1) & (F.size("words") > lo), F.array("words")).otherwise(none))
+    units = F.filter(units, lambda w: F.size(F.array_distinct(w)) - 1 <= hi)
+    pairs = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    units = F.filter(F.transform(units, pairs), lambda b: F.size(b).between(lo, hi))
+    df = df.withColumn("units", F.when(F.size("near") > 0, units).otherwise(none))
 
     def score(bigrams: Column, t: Column) -> Column:
         return (F.lit(2.0) * F.size(F.array_intersect(t["bigrams"], bigrams))) / (F.size(bigrams) + F.size(t["bigrams"]))
 
     def best(bigrams: Column) -> Column:
-        near = F.filter(table, lambda t: F.size(bigrams).between(t["lo"], t["hi"]))
+        near = F.filter("near", lambda t: F.size(bigrams).between(t["lo"], t["hi"]))
         # least of (-dice, name): the best, the first name if tied
         return F.array_min(F.transform(near, lambda t: F.struct((-score(bigrams, t)).alias("minus"), t["name"].alias("name"))))
 
