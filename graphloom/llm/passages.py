@@ -135,26 +135,36 @@ def confirmed(work: DataFrame, window: int) -> DataFrame:
 
 
 class Shard:
-    """An automaton over phrases, as sequences of numbers of their words."""
+    """An automaton over phrases, as sequences of numbers of their words.
+
+    A node's children are searched one by one, and a phrase may begin with any of thousands of words, so a
+    number is written as two letters: its high part, above all low parts, and its low part.
+    """
+
+    LOW = 128
 
     def __init__(self):
         self.numbers: dict[bytes, int] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         self.ready = False
 
+    def letters(self, numbers: np.ndarray) -> tuple[int, ...]:
+        high, low = np.divmod(numbers, self.LOW)
+        return tuple(np.column_stack([high + self.LOW, low]).ravel().tolist())
+
     def add(self, phrase: bytes) -> None:
-        line = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in phrase.split())
-        self.automaton.add_word(line, len(line))
+        line = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in phrase.split()]
+        self.automaton.add_word(self.letters(np.array(line)), len(line))
 
     def locate(self, words: list[bytes]) -> np.ndarray:
-        """Where a phrase of the shard begins."""
+        """Where a phrase of the shard begins; words that no phrase has are number 0."""
         if not self.ready:
             self.automaton.make_automaton()
             self.ready = True
         if not len(self.automaton):
             return np.zeros(0, np.int64)
-        line = tuple(map(self.numbers.get, words, repeat(0)))
-        return np.fromiter((end - n + 1 for end, n in self.automaton.iter(line)), np.int64)
+        line = self.letters(np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words)))
+        return np.fromiter((end // 2 - n + 1 for end, n in self.automaton.iter(line)), np.int64)
 
 
 RUN = ("run", "run2", "length")
