@@ -3,8 +3,9 @@
 Fingerprints are sorted by population count and cut into tiles. Two fingerprints that differ in r bits
 have population counts at most r apart, so pairs of tiles whose counts lie further apart are skipped;
 every other pair of tiles is compared in full with numpy's exclusive-or and bit counts. Equal
-fingerprints are one node. A pair of tiles reports a spanning forest of its links, which has the same
-components as all of them, so a group of thousands never becomes millions of rows.
+fingerprints are one node. A tile reports a spanning forest of the links within it, and a pair of tiles one
+of what its links add to that, which have the same components as all of them: a group has a link for each
+fingerprint and one for each pair of tiles, however many there are of both.
 
 Where documents are to go (one_of_each), fingerprints of several parts only propose: within each group that
 a wide radius makes, the sets of shingles themselves are compared, and links are pairs whose Jaccard
@@ -114,8 +115,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 class Forest:
     """Components of nodes 0..n-1 under links that come in blocks."""
 
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
+    def __init__(self, n: int, roots: np.ndarray | None = None):
+        self.parent = np.arange(n) if roots is None else roots.copy()
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         parent = self.parent
@@ -147,14 +148,16 @@ def spans(x: np.ndarray, right: np.ndarray, radius: int, within: bool) -> Iterat
                 yield lo, hi, int(a), int(b)
 
 
-def compare_tiles(x: np.ndarray, y: np.ndarray | None, radius: int, total: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def compare_tiles(x: np.ndarray, y: np.ndarray | None, radius: int, total: int | None = None, roots: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Spanning links between (or, with y None, within) two sorted tiles, as positions in x followed by y.
 
     A tile has a row for each fingerprint and a column for each part. A link is at most `radius` bits in
-    every part and `total` in all.
+    every part and `total` in all. roots: the least position that each is known to be linked with; links
+    are those of roots alone.
     """
     right, shift = (x, 0) if y is None else (y, len(x))
-    forest = Forest(len(x) + (0 if y is None else len(y)))
+    forest = Forest(len(x) + (0 if y is None else len(y)), roots)
+    before = forest.parent.copy()
     for lo, hi, a, b in spans(x[:, 0], right[:, 0], radius, y is None):
         step = max(1, 1_000_000 // (b - a))
         for i in range(lo, hi, step):
@@ -165,7 +168,7 @@ def compare_tiles(x: np.ndarray, y: np.ndarray | None, radius: int, total: int |
                 r, c = r[near], c[near]
             if len(r):
                 forest.link(r + i, c + (a + shift))
-    child = np.flatnonzero(forest.parent != np.arange(len(forest.parent)))
+    child = np.flatnonzero((forest.parent != before) & (before == np.arange(len(before))))
     if len(child):
         yield child, forest.parent[child]
 
@@ -184,8 +187,10 @@ def links(nodes: DataFrame, scratch: Scratch, radius: int = 3, parts: int = 1, t
         part, k, held = TaskContext.get().partitionId(), 0, []
 
         def tile(rows: np.ndarray) -> dict:
-            pops = np.bitwise_count(rows[:, 0])
-            return {"tile": [part * 1_000_000 + k], "lo": [int(pops[0])], "hi": [int(pops[-1])], "fps": [rows[:, :parts].tobytes()], "ids": [rows[:, parts].tobytes()]}
+            pops, roots = np.bitwise_count(rows[:, 0]), np.arange(len(rows), dtype=np.int32)
+            for u, v in compare_tiles(rows[:, :parts], None, radius, total):
+                roots[u] = v
+            return {"tile": [part * 1_000_000 + k], "lo": [int(pops[0])], "hi": [int(pops[-1])], "fps": [rows[:, :parts].tobytes()], "ids": [rows[:, parts].tobytes()], "roots": [roots.tobytes()]}
 
         for b in batches:
             rows = np.empty((b.num_rows, parts + 1), np.uint64)
@@ -203,30 +208,38 @@ def links(nodes: DataFrame, scratch: Scratch, radius: int = 3, parts: int = 1, t
         if len(rows):
             yield tile(rows)
 
-    tiles = scratch.table(map_rows(ordered, cut, "tile long,lo int,hi int,fps binary,ids binary"), "tiles")
+    tiles = scratch.table(map_rows(ordered, cut, "tile long,lo int,hi int,fps binary,ids binary,roots binary"), "tiles")
     # tiles follow each other in order of population count: near ones meet at a count
     a = tiles.select(F.col("tile").alias("a"), F.explode(F.sequence("lo", F.col("hi") + radius)).alias("pop"))
     b = tiles.select(F.col("tile").alias("b"), F.explode(F.sequence("lo", "hi")).alias("pop"))
-    pairs = scratch.table(a.join(b, "pop").where("a <= b").select("a", "b").distinct(), "pairs")
+    pairs = scratch.table(a.join(b, "pop").where("a < b").select("a", "b").distinct(), "pairs")
     # one tile of a pair stays at home, the other comes to it: each pair moves one tile
     home = F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0
     pairs = pairs.select(F.when(home, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(home, F.col("b")).otherwise(F.col("a")).alias("b"))
     tasks = max(1, min(2000, 2 * tiles.count()))
-    here = tiles.select(F.col("tile").alias("a"), F.col("fps").alias("x"), F.col("ids").alias("x_ids")).repartition(tasks, "a")
-    both = pairs.join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("y"), F.col("ids").alias("y_ids")), "b")
-    both = both.repartition(tasks, "a").join(here, "a").select("a", "b", "x", "y", "x_ids", "y_ids")
+    here = tiles.select(F.col("tile").alias("a"), F.col("fps").alias("x"), F.col("ids").alias("x_ids"), F.col("roots").alias("x_roots")).repartition(tasks, "a")
+    both = pairs.join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("y"), F.col("ids").alias("y_ids"), F.col("roots").alias("y_roots")), "b")
+    both = both.repartition(tasks, "a").join(here, "a").select("a", "b", "x", "y", "x_ids", "y_ids", "x_roots", "y_roots")
 
     def compare(batches: Iterator) -> Iterator[dict]:
         matrix = lambda raw: np.frombuffer(raw, np.uint64).reshape(-1, parts)
         for batch in batches:
-            for a, b, x, y, x_ids, y_ids in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for a, b, x, y, x_ids, y_ids, x_roots, y_roots in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 if a > b:  # roots lie in the earlier tile: links of a group then name few of them
-                    x, y, x_ids, y_ids = y, x, y_ids, x_ids
-                ids = np.frombuffer(x_ids if a == b else x_ids + y_ids, np.int64)
-                for u, v in compare_tiles(matrix(x), None if a == b else matrix(y), radius, total):
+                    x, y, x_ids, y_ids, x_roots, y_roots = y, x, y_ids, x_ids, y_roots, x_roots
+                x, y, ids = matrix(x), matrix(y), np.frombuffer(x_ids + y_ids, np.int64)
+                roots = np.concatenate([np.frombuffer(x_roots, np.int32), np.frombuffer(y_roots, np.int32) + len(x)])
+                for u, v in compare_tiles(x, y, radius, total, roots):
                     yield {"u": ids[u], "v": ids[v]}
 
-    return map_rows(both, compare, "u long,v long")
+    def inside(batches: Iterator) -> Iterator[dict]:
+        for batch in batches:
+            for ids, roots in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                ids, roots = np.frombuffer(ids, np.int64), np.frombuffer(roots, np.int32)
+                child = np.flatnonzero(roots != np.arange(len(roots)))
+                yield {"u": ids[child], "v": ids[roots[child]]}
+
+    return map_rows(tiles.select("ids", "roots"), inside, "u long,v long").unionAll(map_rows(both, compare, "u long,v long"))
 
 
 def grouped(fps: DataFrame, scratch: Scratch, radius: int, parts: int = 1, total: int | None = None) -> DataFrame:
@@ -238,26 +251,35 @@ def grouped(fps: DataFrame, scratch: Scratch, radius: int, parts: int = 1, total
     return scratch.table(labels.select("node", F.coalesce("component", "node").alias("component")), "labelled")
 
 
-def alike(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """Components of sets of hashes under links of similarity LEAST or more, as positions; those of two or more."""
+def alike(sets: list[np.ndarray], cut: int = 0, label: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Components of sets of hashes under links of similarity LEAST or more, as positions; those of two or more.
+
+    With a cut, sets of equal label are linked beforehand, and only sets before the cut are compared with
+    those from there on.
+    """
     n = len(sets)
     sizes = np.array([len(x) for x in sets], np.int64)
     owner = np.repeat(np.arange(n), sizes)
     known, flat = np.unique(np.concatenate(sets), return_inverse=True)
     mine = np.split(flat, np.cumsum(sizes)[:-1])
     mark, left = np.zeros(len(known), bool), np.ones(n, bool)
+    label = np.arange(n) if label is None else label
     for first in range(n):
         if not left[first]:
             continue
-        left[first], found, at = False, [first], 0
+        found, at = np.flatnonzero(label == label[first]).tolist() if cut else [first], 0
+        left[found] = False
         while at < len(found) and left.any():
             i = found[at]
             at += 1
+            middle = np.searchsorted(owner, cut) if cut else 0
+            others = slice(middle, None) if i < cut or not cut else slice(0, middle)
             mark[mine[i]] = True
-            both = np.bincount(owner[mark[flat]], minlength=n)
+            both = np.bincount(owner[others][mark[flat[others]]], minlength=n)
             mark[mine[i]] = False
             near = np.flatnonzero(left & (LEAST[1] * both >= LEAST[0] * (sizes + sizes[i] - both)))
             if len(near):
+                near = np.flatnonzero(left & np.isin(label, label[near])) if cut else near
                 found += near.tolist()
                 left[near] = False
                 stay = left[owner]
@@ -266,6 +288,23 @@ def alike(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
             yield np.array(found)
 
 
+def spanning(sets: list[np.ndarray], cut: int, report: tuple[bool, bool]) -> Iterator[tuple[np.ndarray, int]]:
+    """Links that span what is alike among two blocks of sets, as positions and one they are linked with: those
+    within a block if it is reported, and what links between the blocks (divided at cut) add."""
+    label = np.arange(len(sets))
+    for (lo, hi), wanted in zip(((0, cut), (cut, len(sets))), report, strict=True):
+        for found in alike(sets[lo:hi]) if hi - lo > 1 else ():
+            found = np.sort(found) + lo
+            label[found] = found[0]
+            if wanted:
+                yield found[1:], found[0]
+    if 0 < cut < len(sets):
+        for found in alike(sets, cut, label):
+            roots = np.unique(label[found])
+            if len(roots) > 1:
+                yield roots[1:], roots[0]
+
+
 def verified(docs: DataFrame, rows: DataFrame, scratch: Scratch, id_: F.Column, key: F.Column, text: F.Column, shingle: int) -> DataFrame:
     """u, v: links that span the components of nodes whose sets of shingles are alike, within each component
     of rows (component, node, size, doc_id, key). Each node's text is read from one of its rows in docs."""
@@ -283,25 +322,28 @@ def verified(docs: DataFrame, rows: DataFrame, scratch: Scratch, id_: F.Column,
     mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     others = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("k") - 1), F.col("mine")))
     read = read.withColumn("mine", mine).withColumn("other", F.explode(others))
-    read = read.select("component", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "node", "text")
-    read = read.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "node")
+    read = read.select("component", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "node", "text")
+    read = read.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "mine", "node")
 
     def compare(batches: Iterator) -> Iterator[dict]:
-        group, ids, sets = None, [], []
+        group, ids, sets, cut = None, [], [], 0
 
         def done() -> Iterator[dict]:
-            for found in alike(sets) if len(sets) > 1 else ():
-                of = np.array(ids, np.int64)[found]
-                yield {"u": of[1:], "v": np.full(len(of) - 1, of[0])}
+            # each block's own links come from one pair: the first's from (0, 1), another's from its pair with the first
+            report = (group[2] <= 1, group[1] == 0) if group else ()
+            for u, v in spanning(sets, cut, report) if len(sets) > 1 else ():
+                of = np.array(ids, np.int64)
+                yield {"u": of[u], "v": np.full(len(u), of[v])}
 
         for batch in batches:
-            for component, a, b, node, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for component, a, b, mine, node, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if (component, a, b) != group:
                     yield from done()
-                    group, ids, sets = (component, a, b), [], []
+                    group, ids, sets, cut = (component, a, b), [], [], 0
                 if not ids or node != ids[-1]:  # a row may repeat
                     ids.append(node)
                     sets.append(np.unique(shingles(text, shingle)))
+                    cut += mine == a < b
         yield from done()
 
     return map_rows(read, compare, "u long,v long")

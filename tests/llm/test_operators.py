@@ -564,6 +564,36 @@ def test_near_copies_are_verified(spark, monkeypatch, blocks):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == sorted(set(of))
 
 
+def test_links_go_with_members_not_with_tiles(spark, monkeypatch):
+    """A group that fills many tiles has a link for each member and each pair of tiles."""
+    monkeypatch.setattr(simhash, "TILE_LEAST", 200)
+    monkeypatch.setattr(simhash, "TILES", 1000)
+    base = 0x0F1E2D3C4B5A6978
+    fps = sorted({base ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(64)})
+    nodes = spark.createDataFrame([(f - (f >> 63 << 64), b"", k) for k, f in enumerate(fps)], "fp long, rest binary, node long")
+    found = [tuple(r) for r in simhash.links(nodes, simhash.Scratch(spark, "links"), 3).collect()]
+    forest = simhash.Forest(len(fps))
+    forest.link(*np.array(found).T)
+    assert len(set(forest.parent.tolist())) == 1
+    assert len(fps) - 1 <= len(found) < 1.5 * len(fps)
+
+
+def test_links_go_with_members_not_with_blocks(spark, monkeypatch):
+    """The same for a group that is compared by pairs of blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_NODES", 5)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*base[: 5 * i], "edited", *base[5 * i + 1 :]]) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key = F.xxhash64("text")
+    rows = simhash.fingerprints(docs, shingle=5, parts=4, key=key).withColumn("component", F.lit(1).cast("long"))
+    found = simhash.verified(docs, rows, simhash.Scratch(spark, "verified"), F.col("doc_id"), key, F.col("text"), 5).collect()
+    at = {r["node"]: i for i, r in enumerate(rows.collect())}
+    forest = simhash.Forest(len(at))
+    forest.link(*np.array([(at[r["u"]], at[r["v"]]) for r in found]).T)
+    assert len(at) == 60 and set(forest.parent.tolist()) == {0}
+    assert 59 <= len(found) <= 59 + 12 * 11 / 2
+
+
 # ---- 9 licences
 
 
