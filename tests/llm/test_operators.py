@@ -6,6 +6,7 @@ import hashlib
 import functools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -155,6 +156,21 @@ def test_encoder_is_the_library(together, texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode(texts)] == [x[:-1].tolist() for x in encoded(texts)]
 
 
+def test_encoder_makes_no_object_of_each_piece():
+    rng, tok = random.Random(3), tokens.encoder(tokens.vocabulary())
+    text = " ".join(rng.choices([f"w{chr(97 + k % 26)}{chr(97 + k // 26)}{t}" for k in range(676) for t in ("", ",", ".\nIt")], k=400_000))
+    tok.TOGETHER = 10**7
+    next(tok.encode([text]))
+    tracemalloc.start()
+    try:
+        (got,) = tok.encode([text])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.frombuffer(got, "<u4").tolist() == encoded([text])[0][:-1].tolist()
+    assert peak < 45 * 400_000  # a string and its place in lists are 70 bytes and more
+
+
 def test_special_tokens_as_the_library_has_them():
     texts = ["hello <|endoftext|> world", "a  <|endoftext|>  b", "<|endoftext|>", "<|endoftext", "x<|endoftext|>y\nz"]
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(tokens.vocabulary()).encode(texts)] == [x[:-1].tolist() for x in encoded(texts)]
