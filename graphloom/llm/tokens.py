@@ -5,8 +5,9 @@ stands on the two sides of such a place, so the ids of the pieces, one after ano
 text. Nor does it join letters with the punctuation behind them, so a piece of letters and a tail is a word
 and its tail; nor a line feed with what stands on either side. Many texts are encoded together: the library gets each
 distinct word of theirs once, many in one call. Texts are cut, pieces looked up and ids joined as Arrow
-arrays: a piece is no Python object, but for the few that hold white space. A text that holds the string of an added token, such as <|endoftext|>, is given to the library
-whole: there the token's own id stands for it.
+arrays; only distinct pieces that aren't letters and a tail, and the first of each text, are Python objects.
+A text that holds the string of an added token, such as <|endoftext|>, is given to the library whole: there
+the token's own id stands for it.
 """
 
 from __future__ import annotations
